@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from edgeframe.llm import substring
+from edgeframe.llm import quality, secrets, sharding, substring, token_counts
 
-QUERIES = {"op1_substring_dedup": substring.op1}
+QUERIES = {
+    "op1_substring_dedup": substring.op1,
+    "op2_token_counts": token_counts.op2,
+    "op3_secret_scans": secrets.op3,
+    "op4_sharding": sharding.op4,
+    "op5_quality_rules": quality.op5,
+}
 ORACLE_SQL = {"op1_substring_dedup": substring.OP1_SQL}
