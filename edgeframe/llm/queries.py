@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeframe.llm import quality, secrets, sharding, substring, token_counts
+from edgeframe.llm import near_dups, quality, secrets, sharding, substring, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring.op1,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_secret_scans": secrets.op3,
     "op4_sharding": sharding.op4,
     "op5_quality_rules": quality.op5,
+    "op8_minhash_near_dedup": near_dups.op8,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring.OP1_SQL}
+ORACLE_SQL = {"op1_substring_dedup": substring.OP1_SQL, "op8_minhash_near_dedup": near_dups.OP8_SQL}
