@@ -93,7 +93,10 @@ def _window_rows(width: int, anchor: int) -> Callable[[Batches], Batches]:
                 order = np.lexsort((found, words.doc[at]))
                 at, found = at[order], found[order]
                 keep = textops.changes(words.doc[at], found)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(words.doc[at[keep]])), pa.array(found[keep])], ["doc", "window"])
+                at, found = at[keep], found[keep]
+                values, owner = _flat(part.column("later"))
+                late = _member(words.doc[at], textops.signed(low[at]), owner, values)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(words.doc[at])), pa.array(found), pa.array(late)], ["doc", "window", "later"])
 
     return rows
 
@@ -149,17 +152,21 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = A
     """
     if not 1 <= anchor <= width:
         raise ValueError("the anchor must fit into the window")
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    # an alias of a column to its own name would hide from Spark that both joins below shuffle the same texts
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col) if text_col == "text" else F.col(text_col).alias("text"))
     kind = docs.schema["doc"].dataType
     whole = docs.filter(F.col("doc").isNotNull())
 
     anchors = stored(whole.filter(F.length("text") >= 2 * width - 1).mapInArrow(_anchor_rows(width, anchor), T.StructType([T.StructField("doc", kind), T.StructField("anchor", T.LongType())])), "op1-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor")
-    per_doc = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
+    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("anchor", "lo")
+    # a window can only go where its anchor stands in a smaller document
+    later = F.when(F.col("doc") > F.col("lo"), F.col("anchor"))
+    per_doc = anchors.join(shared, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(later).alias("later"))
 
-    windows = whole.join(per_doc, "doc").select("doc", "text", "anchors").mapInArrow(_window_rows(width, anchor), T.StructType([T.StructField("doc", kind), T.StructField("window", T.LongType())]))
+    pairs = T.StructType([T.StructField("doc", kind), T.StructField("window", T.LongType()), T.StructField("later", T.BooleanType())])
+    windows = whole.join(per_doc, "doc").select("doc", "text", "anchors", "later").mapInArrow(_window_rows(width, anchor), pairs)
     first = windows.groupBy("window").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("window", "lo")
-    gone = windows.join(first, "window").filter("doc > lo").groupBy("doc").agg(F.collect_set("window").alias("windows"))
+    gone = windows.filter("later").drop("later").join(first, "window").filter("doc > lo").groupBy("doc").agg(F.collect_set("window").alias("windows"))
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = T.StructType([T.StructField("doc", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", spans)])
