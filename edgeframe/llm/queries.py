@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeframe.llm import near_dups, quality, secrets, sharding, substring, token_counts
+from edgeframe.llm import latent, near_dups, pieces, quality, secrets, sharding, substring, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring.op1,
@@ -11,5 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4,
     "op5_quality_rules": quality.op5,
     "op8_minhash_near_dedup": near_dups.op8,
+    "op9_benchmark_decontamination": latent.op9,
+    "op10_sentencepiece": pieces.op10,
 }
 ORACLE_SQL = {"op1_substring_dedup": substring.OP1_SQL, "op8_minhash_near_dedup": near_dups.OP8_SQL}
