@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeframe.llm import latent, near_dups, pieces, quality, secrets, sharding, substring, token_counts
+from edgeframe.llm import html_main, latent, near_dups, pieces, quality, secrets, sharding, substring, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scans": secrets.op3,
     "op4_sharding": sharding.op4,
     "op5_quality_rules": quality.op5,
+    "op7_html_extraction": html_main.op7,
     "op8_minhash_near_dedup": near_dups.op8,
     "op9_benchmark_decontamination": latent.op9,
     "op10_sentencepiece": pieces.op10,

@@ -13,8 +13,6 @@ from splitting: the k-th match starts after k + 1 pieces and k matches.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,32 +64,22 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", name(s["order"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, ``spans``, ``linked``.
-
-    ``spans`` has every reported span as (start, order, end) in code points,
-    end exclusive, by start, then kind in the order of ``ORDER``; ``linked``
-    counts the weak ones among them.  A weak secret needs an identifier within
-    ``reach`` code points of its start, a weak identifier needs a secret, and
-    an endpoint needs both; a weak part inside a stronger part is that part.
-
-    Null and empty texts have no spans; rows with a null id are scanned like
-    others; repeated rows come back as often as they occur, each with its
-    spans; other columns are not read.  An empty table gives an empty result.
-    """
+def _scanned(docs: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``spans`` and ``linked``.  Rows are told apart by id and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("print"))
-    found = rows.select("doc", "print", F.concat(*(_spans(F.col("text"), *x) for x in BASE + WEAK)).alias("parts"))
+    found = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text).alias("print"), F.concat(*(_spans(text, *x) for x in BASE + WEAK)).alias("parts"))
     # documents without weak parts, nearly all, are done: no shuffle
     weak = F.exists("parts", lambda p: p["order"] >= len(BASE))
-    plain = found.filter(~weak).select("doc", F.array_sort("parts").alias("spans"), F.lit(0).cast("long").alias("linked"))
-    parts = found.filter(weak).groupBy("doc", "print", "parts").agg(F.count("*").alias("times"))
-    each = parts.select("doc", "print", "times", F.explode("parts").alias("p")).select("doc", "print", "times", "p.*")
+    plain = found.filter(~weak).select("row", F.array_sort("parts").alias("spans"), F.lit(0).cast("long").alias("linked"))
+    rows = found.filter(weak)
+    parts = rows.select("doc", "print", "parts").dropDuplicates(["doc", "print"])
+    each = parts.select("doc", "print", F.explode("parts").alias("p")).select("doc", "print", "p.*")
     near = W.partitionBy("doc", "print").orderBy("start").rangeBetween(-reach, reach)
     sofar = W.partitionBy("doc", "print").orderBy("start", "order").rowsBetween(W.unboundedPreceding, -1)
     role = lambda r: F.col("order").isin([i for i, k in enumerate(ORDER) if ROLE[k] == r])
     strong = F.col("order") < len(BASE)
-    inside = reduce(lambda a, b: a | b, [F.col("end") <= F.coalesce(F.max(F.when(strong, F.col("end"))).over(w), F.lit(-1)) for w in (sofar, W.partitionBy("doc", "print", "start"))])
+    # base kinds come first at one start, so a stronger part around this one has been seen
+    inside = F.col("end") <= F.coalesce(F.max(F.when(strong, F.col("end"))).over(sofar), F.lit(-1))
     judged = (
         each.withColumn("covered", ~strong & inside)
         .withColumn("ids", F.count_if(role("identifier") & ~F.col("covered")).over(near))
@@ -99,12 +87,48 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     )
     complete = F.when(role("secret"), F.col("ids") > 0).when(role("identifier"), F.col("keys") > 0).otherwise((F.col("ids") > 0) & (F.col("keys") > 0))
     linked = judged.groupBy("doc", "print").agg(
-        F.first("times").alias("times"),
         F.array_sort(F.collect_list(F.when(strong | (~F.col("covered") & complete), F.struct("start", "order", "end")))).alias("spans"),
         F.count_if(~strong & ~F.col("covered") & complete).alias("linked"),
     )
-    linked = linked.select(F.explode(F.sequence(F.lit(1).cast("long"), "times")), "doc", "spans", "linked").drop("col")
-    return plain.unionByName(linked).withColumnRenamed("doc", id_col)
+    same = rows["doc"].eqNullSafe(linked["doc"]) & (rows["print"] == linked["print"])
+    return plain.unionByName(rows.join(linked, same).select("row", "spans", "linked"))
+
+
+def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: id, ``spans``, ``linked``.
+
+    ``spans`` has every reported span as (start, order, end) in code points,
+    end exclusive, by start, then kind in the order of ``ORDER``; ``linked``
+    counts the weak ones among them.  A weak secret needs an identifier within
+    ``reach`` code points of its start, a weak identifier needs a secret, and
+    an endpoint needs both; a weak part inside a stronger part is that part.
+
+    Null and empty texts have no spans; rows with a null id are scanned like
+    others; repeated rows come back as often as they occur, each with its
+    spans; other columns are not read.  An empty table gives an empty result.
+    """
+    found = _scanned(docs.select(F.col(id_col), F.col(text_col)), reach, id_col, text_col)
+    return found.select(F.col("row")[id_col].alias(id_col), "spans", "linked")
+
+
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, its columns and rows, with every reported span replaced by ``mask``.
+
+    Overlapping spans become one mask.  Null texts stay null; other columns,
+    whatever their names, pass unread.
+    """
+    found = _scanned(docs, reach, id_col, text_col)
+    text = F.col("row")[text_col]
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mask))
+        # a span that begins inside the last one only lengthens it
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]) | (acc["out"] == ""), fresh).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate("spans", start, step)
+    clean = F.when(F.size("spans") > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return found.select(*(clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
