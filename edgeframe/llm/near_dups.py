@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     found = components(links.unionByName(more), "op8-stars")
 
     members = sketches.join(twins, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep", "doc"))
     return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
