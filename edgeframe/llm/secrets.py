@@ -137,3 +137,32 @@ def op3(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["order"] == ORDER.index(k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k, *_ in BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), "linked")
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL, out of the same tables of patterns."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT rid, {ORDER.index(kind)} AS ord, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}) AS m, regexp_extract_all(t, {quoted(p)}, {group}) AS x, {least} AS least FROM d WHERE regexp_matches(t, {quoted(p)})"
+        for kind, p, group, least in BASE + WEAK
+    )
+    of = lambda r: ", ".join(str(i) for i, k in enumerate(ORDER) if ROLE[k] == r)
+    name = f"[{', '.join(quoted(k) for k in ORDER)}][ord + 1]"
+    text = f"coalesce(string_agg({name} || ':' || a || ':' || b, ',' ORDER BY a, ord, b) FILTER (WHERE {{0}}), '')"
+    n = len(BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE ord = {i}) AS n_{k}" for i, (k, *_) in enumerate(BASE))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+p AS (SELECT rid, ord, (list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0))::BIGINT AS a, length(m[i]) AS n FROM i WHERE length(x[i]) >= least),
+s AS (SELECT rid, ord, a, a + n AS b FROM p),
+c AS (SELECT *, ord >= {n} AND b <= coalesce(max(CASE WHEN ord < {n} THEN b END) OVER (PARTITION BY rid ORDER BY a, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS covered FROM s),
+j AS (SELECT *, count(*) FILTER (WHERE ord IN ({of("identifier")}) AND NOT covered) OVER w AS ids, count(*) FILTER (WHERE ord IN ({of("secret")}) AND NOT covered) OVER w AS keys FROM c WINDOW w AS (PARTITION BY rid ORDER BY a RANGE BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING)),
+r AS (SELECT *, NOT covered AND ord >= {n} AND CASE WHEN ord IN ({of("secret")}) THEN ids > 0 WHEN ord IN ({of("identifier")}) THEN keys > 0 ELSE ids > 0 AND keys > 0 END AS linked FROM j),
+o AS (SELECT rid, {counts}, sha256({text.format(f"ord < {n}")}) AS base_sha256, {text.format(f"ord < {n} OR linked")} AS spans, count(*) FILTER (WHERE linked) AS linked FROM r GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(linked, 0) AS linked FROM d LEFT JOIN o USING (rid)
+"""
+
+
+OP3_SQL = _sql()
