@@ -217,11 +217,13 @@ def _prefix_links(unsettled: DataFrame, texts: DataFrame, width: int, percent: i
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
     index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100.0 + percent)) + 1
     ranked = shingles.join(spread, "shingle").withColumn("rank", rank).filter((F.col("rank") <= probe) & (F.col("lo") < F.col("hi")))
-    prefix = stored(ranked.select("doc", "class", "n", "shingle", (F.col("rank") <= index).alias("indexed")), "op8-prefix")
-    x = prefix.filter("indexed").select(F.col("doc").alias("a"), F.col("class").alias("class_a"), F.col("n").alias("n_a"), "shingle")
-    y = prefix.select(F.col("doc").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), "shingle")
-    near = "class_a <> class_b and (n_a < n_b or (n_a = n_b and a < b)) and 100 * n_a >= " + f"{percent} * n_b"
-    pairs = stored(x.join(y, "shingle").filter(near).select("a", "b").distinct(), "op8-late-pairs")
+    prefix = stored(ranked.select("doc", "class", "n", "shingle", "rank", (F.col("rank") <= index).alias("indexed")), "op8-prefix")
+    side = lambda df, x: df.select(F.col("doc").alias(x), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("rank").alias(f"rank_{x}"), "shingle")
+    # common shingles that two sets of these sizes need; one of them has fewer than the rest before it in both
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent))
+    early = (F.col("rank_a") <= F.col("n_a") - need + 1) & (F.col("rank_b") <= F.col("n_b") - need + 1)
+    near = F.expr(f"class_a <> class_b and (n_a < n_b or (n_a = n_b and a < b)) and 100 * n_a >= {percent} * n_b")
+    pairs = stored(side(prefix.filter("indexed"), "a").join(side(prefix, "b"), "shingle").filter(near & early).select("a", "b").distinct(), "op8-late-pairs")
     return _confirmed(pairs, texts, width, percent, "op8-late-links")
 
 
