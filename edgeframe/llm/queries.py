@@ -15,4 +15,4 @@ QUERIES = {
     "op9_benchmark_decontamination": latent.op9,
     "op10_sentencepiece": pieces.op10,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring.OP1_SQL, "op3_secret_scans": secrets.OP3_SQL, "op8_minhash_near_dedup": near_dups.OP8_SQL}
+ORACLE_SQL = {"op1_substring_dedup": substring.OP1_SQL, "op3_secret_scans": secrets.OP3_SQL, "op4_sharding": sharding.OP4_SQL, "op8_minhash_near_dedup": near_dups.OP8_SQL}

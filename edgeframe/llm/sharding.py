@@ -151,3 +151,19 @@ def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = assign_shards(docs, SlotMap.even(SHARDS, SLOTS))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+
+
+def _sql() -> str:
+    """The contract query in DuckDB SQL; the two maps are literal lists, the checksum is spelled out."""
+    now = SlotMap.even(SHARDS, SLOTS)
+    return f"""
+WITH z AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END)) AS t, {now.owner} AS now, {now.grown().owner} AS later),
+b AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+c AS (SELECT doc_id, octet_length(x)::BIGINT + {OVERHEAD} AS size, now, later, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {SLOTS} AS v,
+  xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(x), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, h: xor(t[(xor(a, h) & 255) + 1], a >> 8)), 4294967295)::BIGINT AS text_crc32 FROM b, z),
+s AS (SELECT *, now[v + 1]::INT AS shard, later[v + 1]::INT AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY v, text_crc32 % {SUB}, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard, v::INT AS virtual_slot, 1::INT AS map_version FROM s
+"""
+
+
+OP4_SQL = _sql()
