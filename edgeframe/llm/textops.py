@@ -123,9 +123,7 @@ class Words:
         size = self.end - self.start
         order = np.argsort(-size, kind="stable")
         sized = size[order]
-        long = int(np.searchsorted(-sized, -_LOCKSTEP, side="left"))
-        while long < n and sized[long] > _LOCKSTEP:
-            long += 1
+        long = int(np.count_nonzero(size > _LOCKSTEP))
         for i in order[:long]:
             piece = self.raw[self.start[i] : self.end[i]].tobytes()
             out[i] = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from edgeframe.llm import html_main, latent, near_dups, pieces, quality, secrets, sharding, substring, textops, token_counts
+from edgeframe.llm import html_main, latent, licenses, near_dups, pieces, quality, secrets, sharding, substring, textops, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, kept string, n_words string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -358,3 +358,29 @@ def test_digests_are_of_kept_words(spark, tmp_path):
     out = {r.doc_id: r for r in substring.op1(spark, str(tmp_path)).collect()}
     assert out[1].kept_sha256 == hashlib.sha256(b"a b").hexdigest()
     assert out[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_licenses(spark, rows, empty):
+    def units(text):
+        plain = re.sub(r"(?:(?!\n)[\W_])+", " ", (text or "").lower())
+        found = {*plain.split("\n"), *re.split(r"\n *\n", plain), plain}
+        return {" ".join(u.split()) for u in found}
+
+    templates = [(n, licenses.bigrams(t)) for n, t in licenses.TEMPLATES]
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
+    texts = [t for _, t, *_ in rows] + ["Some prose.\nReleased under the MIT License.\nMore", "released  UNDER, the mit license", mit.replace(". ", ".\n\n"), mit[: len(mit) // 3], "Licensed under CC BY 4.0.", "x " * 6, "LICENSED under the Apache License, version 2.0 or later"]
+    want = []
+    for i, t in enumerate(texts):
+        hits = []
+        for u in units(t):
+            own = u.split()
+            own = [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
+            scored = [(-2 * len(set(own) & set(b)) / (len(own) + len(b)), n) for n, b in templates if own]
+            if scored and min(scored)[0] <= -licenses.DICE:
+                hits.append((min(scored)[1], round(-min(scored)[0], 9)))
+        want.append((i // 2, sorted(hits)))
+    table = spark.createDataFrame([(i // 2, t, "e", "k", "n") for i, t in enumerate(texts)], SCHEMA)
+    out = [(r.doc_id, sorted((m.license, round(m.dice, 9)) for m in r.matches)) for r in licenses.scan_licenses(table).collect()]
+    assert sorted(map(repr, want)) == sorted(map(repr, out))
+    assert sum(bool(h) for _, h in out) == 5
+    assert licenses.scan_licenses(empty).count() == 0
