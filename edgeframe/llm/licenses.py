@@ -80,6 +80,17 @@ def _templates(dice: float) -> list[tuple[str, int, int, int, list[str]]]:
     return [(name, len(b), *_bounds(len(b), dice), sorted(set(b))) for name, text in TEMPLATES for b in (bigrams(text),)]
 
 
+def _merged(known: list[tuple]) -> list[tuple[int, int]]:
+    """The sizes that fit any template, as few ranges."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((max(lo, 1), hi) for _, _, lo, hi, _ in known):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def scan_licenses(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id and ``matches``.
 
@@ -94,25 +105,26 @@ def scan_licenses(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", t
     """
     known = _templates(dice)
     table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, b)).alias("bigrams")) for n, s, lo, hi, b in known))
-    # letters and digits of a line, single spaces between words
+    # letters and digits, single spaces between words, none at the ends of lines
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    lines, paragraphs = F.split("plain", "\n", -1), F.split("plain", r"\n *\n", -1)
-    units = F.array_distinct(F.transform(F.concat(lines, paragraphs, F.array("plain")), lambda u: F.trim(F.replace(u, F.lit("\n"), F.lit(" ")))))
-    # runs of spaces arise where lines are joined
-    units = F.array_distinct(F.transform(units, lambda u: F.when(F.instr(u, "  ") > 0, F.regexp_replace(u, " +", " ")).otherwise(u)))
-    count = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))  # noqa: E731  spaces are bigrams
+    plain = F.trim(F.regexp_replace(plain, r" ?\n ?", "\n"))
+    paragraphs = F.when(F.instr("plain", "\n\n") > 0, F.transform(F.split("plain", r"\n\n+", -1), lambda u: F.replace(u, F.lit("\n"), F.lit(" ")))).otherwise(F.array().cast("array<string>"))
+    whole = F.trim(F.regexp_replace("plain", r"\n+", " "))
+    units = F.array_distinct(F.transform(F.concat(F.split("plain", "\n", -1), paragraphs, F.array(whole)), lambda u: F.trim(u)))
+    # spaces are bigrams; counted once a unit
+    counted = F.transform("units", lambda u: F.struct(u.alias("u"), (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))).alias("n")))
 
     def possible(u: Column) -> Column:
-        n, fits = count(u), F.lit(False)
-        for lo, hi in sorted({(lo, hi) for _, _, lo, hi, _ in known}):
-            fits = fits | n.between(max(lo, 1), hi)
+        fits = F.lit(False)
+        for lo, hi in _merged(known):
+            fits = fits | u["n"].between(lo, hi)
         return fits
 
     def pairs(u: Column) -> Column:
         words = F.split(u, " ")
         return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    sized = F.transform(F.filter("units", possible), lambda u: F.struct(count(u).alias("n"), pairs(u).alias("b")))
+    sized = F.transform(F.filter("counted", possible), lambda u: F.struct(u["n"].alias("n"), pairs(u["u"]).alias("b")))
 
     def best(u: Column) -> Column:
         near = F.filter("table", lambda t: u["n"].between(t["lo"], t["hi"]))
@@ -120,7 +132,7 @@ def scan_licenses(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", t
         return F.array_min(scored)
 
     hits = F.filter(F.transform("sized", best), lambda m: m["score"] <= -dice)
-    rows = docs.select(F.col(id_col).alias("doc"), plain.alias("plain")).withColumn("units", units).withColumn("table", table).withColumn("sized", sized)
+    rows = docs.select(F.col(id_col).alias("doc"), plain.alias("plain")).withColumn("units", units).withColumn("counted", counted).withColumn("table", table).withColumn("sized", sized)
     return rows.select(F.col("doc").alias(id_col), F.transform(hits, lambda m: F.struct(m["name"].alias("license"), (-m["score"]).alias("dice"))).alias("matches"))
 
 
