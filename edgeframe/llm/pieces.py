@@ -32,12 +32,12 @@ from pyspark.sql import types as T
 from edgeframe.llm import textops
 
 MARK = "▁"
-#: Distinct units whose ids a process keeps from batch to batch, at most.
-KEPT_UNITS = 200_000
+#: Distinct units whose ids a process keeps from slice to slice, about.
+KEPT_UNITS = 400_000
 #: Units over this many characters don't share; their ids would be copied at each step.
 LONG_UNIT = 256
 #: Bytes of text encoded at once: the more, the more prefixes are shared.
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 class Encoder:
@@ -66,9 +66,10 @@ class Encoder:
         self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
         letters = "".join(re.escape(c) for c in sorted(known - {MARK}))
         self.unit = re.compile(f"{MARK}*[{letters}]+|{MARK}+|.", re.DOTALL) if letters else re.compile(".", re.DOTALL)
-        self.fits = functools.lru_cache(maxsize=1 << 18)(self._fits)
+        self.fits = functools.lru_cache(maxsize=1 << 17)(self._fits)
         self.known = {p: (i,) for p, i in self.id.items()}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """What byte-pair merging by score, leftmost first, leaves of ``text``."""
@@ -157,9 +158,12 @@ class Encoder:
         """All ids in order, and how many each text has."""
         units = [self.unit.findall(self.library.normalize(t)) if t else [] for t in texts]
         distinct = set(itertools.chain.from_iterable(units))
-        table = {u: self.kept[u] for u in distinct if u in self.kept}
+        table = {u: ids for u in distinct if (ids := self.young.get(u) or self.old.get(u)) is not None}
         table |= self.walk([u for u in distinct if u not in table])
-        self.kept = table if len(table) <= KEPT_UNITS else dict(itertools.islice(table.items(), KEPT_UNITS))
+        # units not met for a while go with their generation
+        self.young |= table
+        if len(self.young) > KEPT_UNITS // 2:
+            self.old, self.young = self.young, {}
         number = {u: i for i, u in enumerate(table)}
         sizes = np.fromiter(map(len, table.values()), np.int64, len(table))
         flat = np.fromiter(itertools.chain.from_iterable(table.values()), np.int32, int(sizes.sum()))
