@@ -263,6 +263,26 @@ def test_decontamination(spark, docs, rows, empty):
     assert latent.weighted_lcs(np.array([1, 2, 3, 9, 4]), np.array([2, 4, 3]), np.array([1.0, 5.0, 2.0])) == 6.0
 
 
+def test_decontamination_recall(spark):
+    """Short items inside hosts of few, often repeated item words, against a search of every window."""
+    rng = random.Random(22)
+    items = [(k, " ".join(f"v{rng.randrange(400)}" for _ in range(16))) for k in range(40)]
+    vocabulary = [w for _, t in items for w in t.split()]
+    table = []
+    for k, t in items:
+        host = lambda n: " ".join(w for w in rng.choices(vocabulary, k=2) for _ in range(n))
+        table += [(k, f"{host(rng.randrange(20, 70))} {t} {host(rng.randrange(20, 70))}"), (100 + k, f"{prose(rng, 40 + k)} {t}"), (200 + k, prose(rng, 200))]
+    table += [(300 + k, " ".join(w for w in rng.choices(vocabulary, k=60))) for k in range(60)]
+    docs, bench = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.lcs_share for r in latent.benchmark_leaks(docs, bench).collect()}
+    planted = {(d + k, k) for k in range(40) for d in (0, 100)}
+    assert planted <= found.keys() and {found[x] for x in planted} == {1.0}
+    assert found == {(r.doc_id, r.item_id): r.lcs_share for r in latent.benchmark_leaks(docs, bench, cosine=-2.0).collect()}
+    # every document holds the item, so none of its words tells documents apart
+    same = spark.createDataFrame([(i, items[0][1]) for i in range(5)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.lcs_share) for r in latent.benchmark_leaks(same, bench.limit(1)).collect()} == {(i, 0, 1.0) for i in range(5)}
+
+
 def test_pieces(docs, rows, empty):
     import sentencepiece
 
