@@ -429,6 +429,12 @@ def edge_names(spark, d):
     return named_edges(g.nodes, few).groupBy("source_name", "target_name", "type").agg(F.count("*").alias("n"))
 
 
+@query("jn1_edge_names_whole", G + "SELECT coalesce(s.name, 'unknown') AS source_name, coalesce(t.name, 'unknown') AS target_name, e.type, count(*) AS n FROM e LEFT JOIN n s ON s.id = src LEFT JOIN n t ON t.id = dst GROUP BY ALL")
+def edge_names_whole(spark, d):
+    g = _g(spark, d)
+    return named_edges(g.nodes, g.edges).groupBy("source_name", "target_name", "type").agg(F.count("*").alias("n"))
+
+
 def named_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the names of both ends, 'unknown' for strangers."""
     side = lambda end, name: nodes.select("graph_id", F.col("id").alias(end), F.col("name").alias(name))

@@ -174,6 +174,52 @@ def saved(spark, d):
     return spark.read.text(path).groupBy("section").agg(F.count("*").alias("n"))
 
 
+# The same writers over the whole entity graph.
+
+WHOLE = G + ", k AS (SELECT * FROM n), f AS (SELECT * FROM e) "
+_ENDS = "FROM f LEFT JOIN k s ON s.id = src LEFT JOIN k t ON t.id = dst"
+_KEYED = f""", u AS (SELECT *, {_KEY.format("name")} AS safe FROM k), v AS (SELECT *, safe || CASE row_number() OVER (PARTITION BY safe ORDER BY ord, id) WHEN 1 THEN '' ELSE '_' || row_number() OVER (PARTITION BY safe ORDER BY ord, id) END AS key FROM u), m AS (SELECT src, dst, type, count(*) AS c FROM f GROUP BY ALL) """
+_SHAPE = """CASE type WHEN 'method' THEN '[["' || name || '"]]' WHEN 'constructor' THEN '{{"' || name || '"}}' WHEN 'arrow' THEN '("' || name || '")' ELSE '["' || name || '"]' END"""
+_DRAWN = """CASE m.type WHEN 'async' THEN '-.->' WHEN 'callback' THEN '---' WHEN 'constructor' THEN '==>' ELSE '-->' END || CASE WHEN c > 1 THEN '|' || c || 'x|' WHEN m.type = 'async' THEN '|await|' WHEN m.type = 'callback' THEN '|callback|' ELSE '' END"""
+
+
+@query("snk3_json_simple_whole", WHOLE + """SELECT 'nodes' AS section, '{"id":"' || id || '","name":"' || name || '"}' AS line FROM k UNION ALL SELECT 'edges', '{"source":"' || src || '","target":"' || dst || '"}' FROM f""")
+def json_simple_whole(spark, d):
+    return lines.json_lines(tables.entity_graph(spark, d), "simple").select("section", "line")
+
+
+@query("snk3_json_compact_whole", WHOLE + f""", i AS (SELECT id, row_number() OVER (ORDER BY ord, id) - 1 AS i FROM k) SELECT 'nodes' AS section, '["' || id || '","' || name || '","' || type || '"]' AS line FROM k UNION ALL SELECT 'edges', '[' || coalesce(s.i::VARCHAR, 'null') || ',' || coalesce(t.i::VARCHAR, 'null') || ',"' || f.type || '"]' {_ENDS.replace(" k ", " i ")}""")
+def json_compact_whole(spark, d):
+    return lines.json_lines(tables.entity_graph(spark, d), "compact").select("section", "line")
+
+
+@query("snk5_yaml_lines_whole", WHOLE + f"""SELECT 'functions' AS section, '  - {{name: "' || name || '", file: "' || file_path || '", line: ' || line || ', type: ' || type || ', async: ' || is_async || '}}' AS line FROM k UNION ALL SELECT 'calls', '  - {{from: "' || coalesce(s.name, 'unknown') || '", to: "' || coalesce(t.name, 'unknown') || '", type: ' || f.type || '}}' {_ENDS}""")
+def yaml_lines_whole(spark, d):
+    return lines.yaml_lines(tables.entity_graph(spark, d)).select("section", "line")
+
+
+@query("snk9_mermaid_lines_whole", WHOLE + _KEYED + f"""SELECT 'nodes' AS section, '  ' || key || {_SHAPE} AS line FROM v UNION ALL SELECT 'edges', '  ' || s.key || ' ' || {_DRAWN} || ' ' || t.key FROM m JOIN v s ON s.id = src JOIN v t ON t.id = dst""")
+def mermaid_lines_whole(spark, d):
+    return lines.mermaid_lines(tables.entity_graph(spark, d)).select("section", "line")
+
+
+@query("snk10_mermaid_clusters_whole", WHOLE + "SELECT 'nodes:' || file_path AS section, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT src, dst, type FROM f WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k))")
+def mermaid_clusters_whole(spark, d):
+    return lines.mermaid_lines(tables.entity_graph(spark, d), clusters=True).groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query("snk14_dot_lines_whole", WHOLE + """SELECT 'nodes' AS section, '  "' || id || '" [label="' || name || '", shape=' || CASE type WHEN 'method' THEN 'ellipse' WHEN 'constructor' THEN 'diamond' WHEN 'arrow' THEN 'oval' ELSE 'box' END || ', tooltip="' || split_part(file_path, '/', 3) || ':' || line || '"' || CASE WHEN is_async THEN ', style=filled' ELSE '' END || '];' AS line FROM k UNION ALL SELECT 'edges', '  "' || src || '" -> "' || dst || '" [style=' || CASE type WHEN 'async' THEN 'dashed' WHEN 'callback' THEN 'dotted' WHEN 'constructor' THEN 'bold' ELSE 'solid' END || '];' FROM f""")
+def dot_lines_whole(spark, d):
+    return lines.dot_lines(tables.entity_graph(spark, d)).select("section", "line")
+
+
+@query("snk17_saved_lines_whole", WHOLE + "SELECT 'nodes' AS section, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM f")
+def saved_whole(spark, d):
+    path = f"{folder(spark)}/saved-{uuid.uuid4().hex}"
+    lines.save(tables.entity_graph(spark, d), path, "dot")
+    return spark.read.text(path).groupBy("section").agg(F.count("*").alias("n"))
+
+
 # --- caches and streams -----------------------------------------------------------------------------
 
 

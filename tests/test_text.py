@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pytest
 
 from edgeframe.model import AnalysisError, AnalysisOptions, CallGraph
 from edgeframe.operators import entrypoints, resolve
-from edgeframe.plans import api, catalog_text
+from edgeframe.plans import api, catalog, catalog_text
 from edgeframe.sinks import lines
 from edgeframe.sources import mermaid, specs, typescript
 from edgeframe.streaming import incremental
@@ -149,3 +150,16 @@ def test_read_sources(spark, tmp_path):
     (tmp_path / "node_modules" / "x.ts").write_text("x")
     found = {r.path: r.content for r in typescript.read_sources(spark, str(tmp_path), ["src/**"]).collect()}
     assert found == catalog_text.SOURCES
+
+
+@pytest.mark.parametrize("name", ["jn1_edge_names", "snk3_json_simple", "snk3_json_compact", "snk5_yaml_lines", "snk9_mermaid_lines", "snk10_mermaid_clusters", "snk14_dot_lines", "snk17_saved_lines"])
+def test_writers_see_the_whole_graph(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    base, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("region", "nation", "customer", "orders", "part", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    found = catalog.QUERIES[f"{name}_whole"](spark, base)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.SQL[f'{name}_whole']})").fetchall()
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+    calls = con.execute("SELECT count(*) FROM orders").fetchone()[0]
+    assert sum(r[-1] if isinstance(r[-1], int) else 1 for r in want) > calls
