@@ -50,10 +50,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document."""
+    """The piece ids of each document, and a digest of the text they decode to."""
     import public_tokenizers
 
-    return encode_pieces(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_pieces(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
 
 
 STAGES = [

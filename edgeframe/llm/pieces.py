@@ -53,6 +53,11 @@ class Encoder:
         self.score = {p: lib.get_score(i) for p, i in self.id.items()}
         self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.fallback = lib.is_byte(self.byte[0])
+        self.spelt = np.array([p.encode() for p in self.pieces], dtype=object)
+        self.is_byte = np.zeros(len(self.pieces), dtype=bool)
+        if self.fallback:
+            self.spelt[self.byte] = [bytes([b]) for b in range(256)]
+            self.is_byte[self.byte] = True
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces that cross a word's start are not supported")
         # byte-pair models score their pieces by rank
@@ -190,6 +195,21 @@ class Encoder:
         out.append(pending.decode("utf-8", "replace"))
         return "".join(out).removeprefix(MARK).replace(MARK, " ")
 
+    def decode_all(self, ids: np.ndarray, count: np.ndarray) -> Iterator[bytes]:
+        """The UTF-8 text of each list of ids, as ``decode`` gives it."""
+        spelt, single = self.spelt[ids], np.concatenate([[0], np.cumsum(self.is_byte[ids])])
+        ends = np.cumsum(count)
+        for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+            raw = b"".join(spelt[a:b].tolist())
+            if single[b] > single[a]:
+                # bytes that make no character are replaced run by run
+                try:
+                    raw.decode()
+                except UnicodeDecodeError:
+                    yield self.decode(ids[a:b].tolist()).encode()
+                    continue
+            yield raw.removeprefix(MARK.encode()).replace(MARK.encode(), b" ")
+
 
 _encoders: dict[bytes, Encoder] = {}
 
@@ -202,9 +222,12 @@ def encoder(model: bytes) -> Encoder:
     return _encoders[key]
 
 
-def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``n_pieces`` and ``piece_ids`` instead of the text.
 
+    With ``decoded``, the ids are decoded again and ``decoded_sha256`` has the
+    digest of that text.
+
     ``model`` is the path, on the driver, of a SentencePiece model; its content
     (of fixed size) goes to the executors.  The ids are the library's, without
     begin or end pieces.
@@ -214,8 +237,9 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
     An empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
-    keep = [c for c in docs.columns if c not in (text_col, "n_pieces", "piece_ids")]
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_pieces", T.LongType()), T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+    new = [T.StructField("n_pieces", T.LongType()), T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded_sha256", T.StringType())] if decoded else [])]
+    keep = [c for c in docs.columns if c not in (text_col, *(f.name for f in new))]
+    out = T.StructType([*(docs.schema[c] for c in keep), *new])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(shipped.value)
@@ -223,7 +247,8 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
             for part in textops.slices(batch, text_col, SLICE):
                 ids, count = machine.encode(textops.as_arrow(part.column(text_col)).to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(ids))], out.fieldNames())
+                digests = [pa.array([hashlib.sha256(t).hexdigest() for t in machine.decode_all(ids, count)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(ids)), *digests], out.fieldNames())
 
     return docs.select(*keep, text_col).mapInArrow(rows, out)
 
@@ -244,9 +269,9 @@ def decode_pieces(docs: DataFrame, model: str, ids_col: str = "piece_ids", text_
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """Every document's piece ids, with a digest of them."""
+    """Every document's piece ids and the text they decode to, as digests."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "n_pieces", F.sha2(F.concat_ws(",", F.transform("piece_ids", lambda i: i.cast("string"))), 256).alias("ids_sha256"))
+    found = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return found.select("doc_id", "n_pieces", F.sha2(F.concat_ws(",", F.transform("piece_ids", lambda i: i.cast("string"))), 256).alias("ids_sha256"), "decoded_sha256")

@@ -296,6 +296,23 @@ def test_pieces(docs, rows, empty):
     assert pieces.encode_pieces(empty, path).count() == 0
 
 
+def test_pieces_are_decoded(spark, tmp_path):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, "", " two  words ", "▁mark ▁", "日本 語 😀\x00 é\n\tend", "😀😀", "the international thing " * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r.decoded_sha256 for r in pieces.op10(spark, str(tmp_path)).collect()}
+    assert out == {i: hashlib.sha256(library.decode(library.encode(t or "")).encode()).hexdigest() for i, t in enumerate(texts)}
+    with open(path, "rb") as f:
+        machine = pieces.encoder(f.read())
+    rng, size = random.Random(6), library.vocab_size()
+    lists = [[rng.choice(machine.byte) if rng.random() < 0.5 else rng.randrange(size) for _ in range(rng.randrange(12))] for _ in range(500)]
+    found = machine.decode_all(np.array([i for x in lists for i in x]), np.array(list(map(len, lists))))
+    assert list(found) == [machine.decode(x).encode() for x in lists]
+
+
 def test_pieces_random():
     import sentencepiece
 
