@@ -1,15 +1,17 @@
 """Near duplicates by bottom-k sketches of word shingles, confirmed exactly.
 
 1. Each text's distinct shingles are hashed by one function; equal sets
-   collapse to a representative, and a sketch keeps the ``K`` smallest hashes.
+   collapse to one, known by its 128-bit digest, and a sketch keeps the ``K``
+   smallest hashes.  An id with several texts links their sets.
 2. Inverted lists hold, for every run of ``RUN`` neighbouring retained values,
    the sets that have it.  In two sets at the threshold, 85 % of the union's
    smallest hashes are common, and the chance that no three neighbours are is
    below 1e-9 for 48 values; smaller sets are kept whole, where a run is
    certain.  A list is joined to its smallest member only, so its pairs grow
    with its length, not its square.
-3. A pair's union sketch estimates its similarity; far misses go.  The others
-   are confirmed on the full sets, and links become components.
+3. A pair's union sketch estimates its similarity; far misses go.  The sets of
+   the others are written once as sorted hashes and confirmed in full by joins,
+   so no pair's texts stand side by side.  Links become components.
 4. A list whose members all sit in one component is settled.  The rest is
    finished by an exact join over the sets in unsettled lists: shingles in
    order of rarity among them, where linked sets share one in a short prefix.
@@ -32,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeframe.llm import textops
-from edgeframe.llm.shared import stored
+from edgeframe.llm.shared import dropped, quoted, stored
 
 SHINGLE, PERCENT = 5, 85
 K, RUN = 48, 3
 #: A pair whose union sketch shares less than this part of the threshold's expectation is dropped (6.8 sigma at K = 48).
 SLACK = 0.59
-#: A list of ids up to this many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
-BROADCAST_IDS = 1 << 20
+#: A list of ids up to this many rows (some 100 bytes each as a hash table) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1 << 17
 
 
 def shingle_sets(array: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -64,49 +66,37 @@ def shingle_sets(array: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
     return row[new], value[new]
 
 
+def _digests(value: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """128 bits of each row's set, null for an empty one."""
+    data, ends = value.tobytes(), (8 * np.cumsum(n)).tolist()
+    return [hashlib.blake2b(data[a:b], digest_size=16).digest() if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _sketch_rows(width: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch, "text"):
                 row, value = shingle_sets(textops.as_arrow(part.column("text")), width)
                 n = np.bincount(row, minlength=part.num_rows)
-                first = np.concatenate([[0], np.cumsum(n)])
-                data = value.tobytes()
-                digests = [hashlib.blake2b(data[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                first = np.cumsum(n) - n
                 low = np.arange(len(row)) - first[row] < k
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), textops.lists(textops.signed(value[low]), np.minimum(n, k))],
+                    [part.column("doc"), pa.array(n.astype(np.int64)), pa.array(_digests(value, n), pa.binary()), textops.lists(textops.signed(value[low]), np.minimum(n, k))],
                     ["doc", "n", "digest", "sketch"],
                 )
 
     return rows
 
 
-def _confirm_rows(width: int, percent: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textops.slices(batch, "text_a"):
-                row_a, a = shingle_sets(textops.as_arrow(part.column("text_a")), width)
-                row_b, b = shingle_sets(textops.as_arrow(part.column("text_b")), width)
-                row, value = np.concatenate([row_a, row_b]), np.concatenate([a, b])
-                order = np.lexsort((value, row))
-                again = ~textops.changes(row[order], value[order])
-                common = np.bincount(row[order][again], minlength=part.num_rows)
-                union = np.bincount(row, minlength=part.num_rows) - common
-                yes = pa.array((100 * common >= percent * union) & (common > 0))
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(yes), part.column("b").filter(yes)], ["a", "b"])
-
-    return rows
+def _set_rows(width: int):
+    """One row a text: the digest of its set and the whole set."""
 
-
-def _shingle_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.slices(batch, "text"):
                 row, value = shingle_sets(textops.as_arrow(part.column("text")), width)
-                n = np.bincount(row, minlength=part.num_rows)[row]
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(at), part.column("class").take(at), pa.array(n.astype(np.int64)), pa.array(textops.signed(value))], ["doc", "class", "n", "shingle"])
+                n = np.bincount(row, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(value, n), pa.binary()), textops.lists(textops.signed(value), n)], ["digest", "shingles"])
 
     return rows
 
@@ -116,7 +106,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     Alternates large-star and small-star steps until nothing changes; the
     rounds grow with the logarithm of the longest chain.  Roots are listed
-    too.  Each round is written to the shared folder.
+    too.  Each round is written to the shared folder, and the round before it
+    deleted.
+
+    Links from a node to itself or with a null end count as none; repeated
+    links count once; other columns are not read.  Nodes are of any type with
+    an order.  No links give an empty result.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -130,24 +125,34 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(down.withColumnRenamed("m", "b")).distinct(), name)
+        old, edges = edges, stored(small.unionByName(down.withColumnRenamed("m", "b")).distinct(), name)
         before, now = now, mark(edges)
+        dropped(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose ``doc`` is among ``ids``."""
+def _only(rows: DataFrame, ids: DataFrame, on: str = "doc") -> DataFrame:
+    """The rows whose ``on`` is among the distinct ``ids``, a written table: its count decides how they are joined."""
     few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
+def _full_sets(texts: DataFrame, heads: DataFrame, wanted: DataFrame, width: int, name: str) -> DataFrame:
+    """(digest, shingles) of the ``wanted`` digests, written once."""
+    ids = stored(wanted.distinct(), f"{name}-ids")
+    docs = stored(_only(heads.select("digest", "doc"), ids, "digest").select("doc").distinct(), f"{name}-docs")
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    sets = _only(_only(texts, docs).select("text").mapInArrow(_set_rows(width), schema), ids, "digest")
+    # repeated rows have one set
+    return stored(sets.groupBy("digest").agg(F.first("shingles").alias("shingles")), name)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    needed = _only(texts, ids)
-    side = lambda x: needed.select(F.col("doc").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return stored(joined.mapInArrow(_confirm_rows(width, percent), pairs.select("a", "b").schema), name)
+    side = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"s_{x}"))
+    # sets have no repeated hashes, so the common ones tell the union's size
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("s_a") + F.size("s_b")).alias("both"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+    return stored(joined.filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"), name)
 
 
 def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
@@ -166,51 +171,55 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     A null or empty text has no shingles and is linked with nothing.  Rows
     whose id is null keep their own: ``component_id`` null, ``kept`` true.
-    Repeated ids share a component, and every row of the smallest id is kept.
+    Rows of a repeated id share a component, whatever their texts, with all
+    that any of those texts is near to; every row of the smallest id is kept.
     Other columns are not read.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col) if text_col == "text" else F.col(text_col).alias("text"))
+    docs = docs.select(F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
     kind = docs.schema["doc"].dataType
     texts = docs.filter("doc is not null")
     sketch = T.StructType([T.StructField("doc", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     sketches = stored(docs.mapInArrow(_sketch_rows(width, k), sketch), "op8-sketches")
 
     sets = sketches.filter("doc is not null and digest is not null")
-    twins = sets.groupBy("digest").agg(F.min("doc").alias("rep"))
-    heads = sets.join(twins.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n", "sketch").dropDuplicates(["doc"])
+    heads = stored(sets.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "op8-heads")
+    several = sets.groupBy("doc").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("doc", F.col("lo").alias("b"))
+    same_id = stored(sets.select("doc", F.col("digest").alias("a")).join(several, "doc").filter("a > b").select("a", "b").distinct(), "op8-same-id")
 
     runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - RUN + 1), lambda i: F.xxhash64(F.slice("sketch", i, RUN)))
-    keys = heads.filter(F.size("sketch") >= RUN).select("doc", F.explode(runs).alias("key"))
-    lists = keys.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top"), F.count("*").alias("size")).filter("pivot < top")
+    keys = heads.filter(F.size("sketch") >= RUN).select("digest", F.explode(runs).alias("key"))
+    lists = keys.groupBy("key").agg(F.min("digest").alias("pivot"), F.max("digest").alias("top"), F.count("*").alias("size")).filter("pivot < top")
     hits = stored(keys.join(lists.select("key", "pivot", "size"), "key"), "op8-hits")
 
-    estimated = hits.filter("doc > pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    side = lambda x: heads.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    estimated = hits.filter("digest > pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
+    side = lambda x: heads.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & _likely(F.col("s_a"), F.col("s_b"), k, percent)
     likely = stored(estimated.join(side("a"), "a").join(side("b"), "b").filter(sized).select("a", "b"), "op8-pairs")
-    links = _confirmed(likely, texts, width, percent, "op8-links")
+    full = _full_sets(texts, heads, likely.select(F.explode(F.array("a", "b")).alias("digest")), width, "op8-sets")
+    links = _confirmed(likely, full, percent, "op8-links").unionByName(same_id)
 
     found = components(links, "op8-stars")
-    label = F.coalesce(F.col("root"), F.col("doc")).alias("class")
+    label = F.coalesce(F.col("root"), F.col("digest")).alias("class")
     # a list of two is settled by its one pair
-    classed = hits.filter("size > 2").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", label)
+    classed = hits.filter("size > 2").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", label)
     open_keys = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-    unsettled = stored(classed.join(open_keys, "key").select("doc", "class").distinct(), "op8-unsettled")
-    more = _prefix_links(unsettled, texts, width, percent)
-    found = components(links.unionByName(more), "op8-stars")
-
-    members = sketches.join(twins, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "rep", "doc"))
-    return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
-
-
-def _prefix_links(unsettled: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between the classes of ``unsettled`` (doc, class), by rarest-first prefixes."""
-    ids = unsettled.select("doc")
-    rows = _only(texts, ids).join(unsettled, "doc").dropDuplicates(["doc"]).select("doc", "class", "text")
-    kind = texts.schema["doc"].dataType
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("class", kind), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType())])
-    shingles = stored(rows.mapInArrow(_shingle_rows(width), schema), "op8-shingles")
+    unsettled = stored(classed.join(open_keys, "key").select("digest", "class").distinct(), "op8-unsettled")
+    dropped(hits, full)
+    found = components(links.unionByName(_prefix_links(unsettled, texts, heads, width, percent)), "op8-stars")
+
+    # the smallest id of each class of several sets, then of each set
+    classes = heads.select("digest", "doc").join(found.withColumnRenamed("node", "digest"), "digest")
+    smallest = classes.groupBy("root").agg(F.min("doc").alias("least"))
+    component = heads.select("digest", F.col("doc").alias("own")).join(classes.join(smallest, "root").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "own").alias("component"))
+    members = sketches.join(component, "digest", "left")
+    component_id = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
+    return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc") == component_id, F.lit(True)).alias("kept"))
+
+
+def _prefix_links(unsettled: DataFrame, texts: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the classes of ``unsettled`` (digest, class), by rarest-first prefixes."""
+    full = _full_sets(texts, heads, unsettled.select("digest"), width, "op8-late-sets")
+    shingles = full.join(unsettled, "digest").select(F.col("digest").alias("doc"), "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     # a shingle of one class cannot link two
     spread = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     rank = F.row_number().over(W.partitionBy("doc").orderBy("df", "shingle"))
@@ -224,7 +233,9 @@ def _prefix_links(unsettled: DataFrame, texts: DataFrame, width: int, percent: i
     early = (F.col("rank_a") <= F.col("n_a") - need + 1) & (F.col("rank_b") <= F.col("n_b") - need + 1)
     near = F.expr(f"class_a <> class_b and (n_a < n_b or (n_a = n_b and a < b)) and 100 * n_a >= {percent} * n_b")
     pairs = stored(side(prefix.filter("indexed"), "a").join(side(prefix, "b"), "shingle").filter(near & early).select("a", "b").distinct(), "op8-late-pairs")
-    return _confirmed(pairs, texts, width, percent, "op8-late-links")
+    links = _confirmed(pairs, full, percent, "op8-late-links")
+    dropped(prefix, full, pairs)
+    return links
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

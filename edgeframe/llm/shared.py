@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local: dict[str, str] = {}
 
@@ -35,4 +37,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.stored_at
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of ``df`` besides ``taken``; like Spark, upper and lower case are the same."""
+    low = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def batched(df: DataFrame, text_col: str, *taken: str) -> tuple[DataFrame, list[T.StructField]]:
+    """``df`` as (its columns besides ``text_col`` and ``taken``, then the text), and the fields of the former.
+
+    For functions over Arrow batches: columns are named by place, so no name can clash or need quoting.
+    """
+    keep = others(df, text_col, *taken)
+    fields = [T.StructField(c, df.select(quoted(c)).schema[0].dataType) for c in keep]
+    return df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)), F.col(quoted(text_col)).alias("text")), fields
+
+
+def named(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """The columns ``c0``, ``c1``, ... of :func:`batched` under their own names again."""
+    first = [F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)]
+    return df.select(*first, *(quoted(c) for c in df.columns[len(fields) :]))

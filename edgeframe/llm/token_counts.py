@@ -10,14 +10,16 @@ Two machines in sequence, both deterministic:
   recent position from which a longer token could still end, the trie node
   reached, the last token before that position and how many tokens lie
   between; a transition carries the change of the token count.  States are
-  numbered as they are met, and the table is dropped and rebuilt when it
-  reaches ``max_states``, so memory is bounded whatever the input.
-
-Pre-tokens are cut into chunks of ``CHUNK`` bytes that run side by side.  A
-chunk's state map is evaluated for the entry states that occur: 0 where a
-pre-token starts, otherwise a guess, then the exit of the chunk before.  The
-maps compose along each pre-token in a prefix scan that repeats only the
-chunks whose entry was guessed wrong; the counts add up.
+  numbered as they are met.  When there are ``max_states`` of them, even in the
+  middle of a run, those that were visited most and those in use stay and the
+  others go, so memory is bounded whatever the input.
+
+Pre-tokens are cut into chunks of ``CHUNK`` bytes that run side by side, at most
+``LANES`` at once.  A chunk's state map goes from the states in which the
+machine can be after the bytes before it - found by running from several places
+shortly before the chunk - to exit states and token counts.  The maps are
+composed in a parallel prefix scan that doubles its stride.  Exits that are no
+entry of the next chunk's map yet are added to it until the scan gets through.
 """
 
 from __future__ import annotations
@@ -35,9 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeframe.llm import textops
+from edgeframe.llm.shared import batched, named
 
 CHUNK = 64
-MAX_STATES = 1 << 18
+#: Chunks of a pre-token are entered from runs that begin so many bytes before them.
+RUN_UPS = (24, 17)
+LANES = 1 << 15
+MAX_STATES = 1 << 17
 LIMIT = 512
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _UNKNOWN = 0, 1, 2, 3, 255
@@ -78,6 +84,7 @@ class Merger:
         self.active: list[tuple] = []
         self.next = np.full((1 << 10, self.width), -1, np.int32)
         self.emit = np.zeros((1 << 10, self.width), np.int8)
+        self.visits = np.zeros(1 << 10, np.int64)
         self._state(((0, -1, 0),))
 
     def _state(self, active: tuple) -> int:
@@ -85,10 +92,34 @@ class Merger:
         if state == len(self.active):
             self.active.append(active)
             if state >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
+                more = max(1 << 10, len(self.next) // 4)
+                self.next = np.concatenate([self.next, np.full((more, self.width), -1, np.int32)])
+                self.emit = np.concatenate([self.emit, np.zeros((more, self.width), np.int8)])
+                self.visits = np.concatenate([self.visits, np.zeros(more, np.int64)])
         return state
 
+    def _forget(self, used: list[np.ndarray]) -> None:
+        """Keep the start, the most visited states and those in ``used``, which are numbered anew in place."""
+        n = len(self.active)
+        stay = np.zeros(n, dtype=bool)
+        stay[np.argsort(-self.visits[:n], kind="stable")[: self.max_states // 2]] = True
+        stay[0] = True
+        for states in used:
+            stay[states] = True
+        old = np.flatnonzero(stay)
+        new = np.full(n + 1, -1, np.int32)
+        new[old] = np.arange(len(old))
+        table, emits, visits, active = self.next, self.emit, self.visits, self.active
+        self.active = [active[i] for i in old.tolist()]
+        self.number = {x: i for i, x in enumerate(self.active)}
+        size = max(1 << 10, len(old))
+        self.next, self.emit = np.full((size, self.width), -1, np.int32), np.zeros((size, self.width), np.int8)
+        self.next[: len(old)], self.emit[: len(old)] = new[table[old]], emits[old]
+        self.visits = np.zeros(size, np.int64)
+        self.visits[: len(old)] = visits[old] // 2
+        for states in used:
+            states[:] = new[states]
+
     def merged(self, data: bytes) -> list[bytes]:
         """The pieces that byte-pair merging leaves of ``data``."""
         rank, never = self.ranks.get, 1 << 30
@@ -139,41 +170,75 @@ class Merger:
             self._reset()
         return self.column[raw]
 
-    def run(self, raw: np.ndarray, at: np.ndarray, size: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exit state and tokens of each chunk of columns ``raw[at : at + size]``, longest first."""
+    def run(self, raw: np.ndarray, at: np.ndarray, size: np.ndarray, entry: np.ndarray, held: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and tokens of each run over columns ``raw[at : at + size]``.
+
+        States in ``entry`` and ``held`` stay known; they are numbered anew in place if need be.
+        """
         state, count = entry.astype(np.int64), np.zeros(len(at), np.int64)
-        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
-        for t, k in enumerate(live):
-            place = state[:k] * self.width + raw[at[:k] + t]
-            to = self.next.ravel()[place]
-            if (missing := np.unique(place[to < 0])).size:
-                for p in missing.tolist():
-                    self._build(p // self.width, p % self.width)
+        order = np.argsort(-size, kind="stable")
+        for lanes in (order[i : i + LANES] for i in range(0, len(order), LANES)):
+            here, left, begin, total = state[lanes], size[lanes], at[lanes], np.zeros(len(lanes), np.int64)
+            live = np.searchsorted(-left, -np.arange(int(left[0])), side="left")
+            for t, k in enumerate(live):
+                if len(self.active) > self.max_states:
+                    self._forget([here, state, entry, *held])
+                self.visits[here[:k]] += 1
+                place = here[:k] * self.width + raw[begin[:k] + t]
                 to = self.next.ravel()[place]
-            count[:k] += self.emit.ravel()[place]
-            state[:k] = to
+                if (missing := np.unique(place[to < 0])).size:
+                    for p in missing.tolist():
+                        self._build(p // self.width, p % self.width)
+                    to = self.next.ravel()[place]
+                total[:k] += self.emit.ravel()[place]
+                here[:k] = to
+            state[lanes], count[lanes] = here, total
         return state, count
 
     def count(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token ``raw[start : end]``."""
-        if len(self.active) > self.max_states:
-            self._reset()
         raw = self._columns(raw)
-        chunks = -(-(end - start) // CHUNK)
-        owner = np.repeat(np.arange(len(start)), chunks)
-        rank = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        at = start[owner] + rank * CHUNK
-        size = np.minimum(end[owner] - at, CHUNK)
-        order = np.argsort(-size, kind="stable")
-        state, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        entry = np.zeros(len(at), np.int64)
-        state[order], count[order] = self.run(raw, at[order], size[order], entry[order])
-        later = np.flatnonzero(rank > 0)
-        while later.size and (wrong := later[state[later - 1] != entry[later]]).size:
-            entry[wrong] = state[wrong - 1]
-            todo = wrong[np.argsort(-size[wrong], kind="stable")]
-            state[todo], count[todo] = self.run(raw, at[todo], size[todo], entry[todo])
-        return np.bincount(owner, weights=count, minlength=len(start)).astype(np.int64)
+        short = end - start <= CHUNK
+        out = np.zeros(len(start), np.int64)
+        out[short] = self.run(raw, start[short], (end - start)[short], np.zeros(int(short.sum()), np.int64))[1]
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = self._long(raw, int(start[i]), int(end[i]))
+        return out
+
+    def _long(self, raw: np.ndarray, start: int, end: int) -> int:
+        """Tokens of a long pre-token, from the composed state maps of its chunks."""
+        at = np.arange(start, end, CHUNK)
+        n, size = len(at), np.minimum(end - at, CHUNK)
+        # the maps, flat: an entry state of a chunk, the state after it and the tokens between
+        chunk, entry, leave, tokens = (np.zeros(0, np.int64) for _ in range(4))
+        new, state = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]  # the first chunk is entered in state 0
+        later = np.arange(1, n)
+        for up in RUN_UPS:
+            new.append(later)
+            state.append(self.run(raw, at[1:] - up, np.full(n - 1, up), np.zeros(n - 1, np.int64), tuple(state))[0])
+        more, states = np.concatenate(new), np.concatenate(state)
+        while True:
+            order = np.lexsort((states, more))
+            order = order[textops.changes(more[order], states[order])]
+            more, states = more[order], states[order]
+            left, passed = self.run(raw, at[more], size[more], states, (entry, leave))
+            chunk, entry, leave, tokens = (np.concatenate(x) for x in ((chunk, more), (entry, states), (leave, left), (tokens, passed)))
+            # where each map's exit enters the next chunk; two places beyond stand for the end and for the unknown
+            m, many = len(chunk), len(self.active) + 1
+            key = chunk * many + entry
+            order = np.argsort(key)
+            want = (chunk + 1) * many + leave
+            place = order[np.minimum(np.searchsorted(key, want, sorter=order), m - 1)]
+            known = key[place] == want
+            to = np.concatenate([np.where(chunk == n - 1, m, np.where(known, place, m + 1)), [m, m + 1]])
+            total = np.concatenate([tokens, [0, 0]])
+            for _ in range(n.bit_length()):
+                total, to = total + total[to], to[to]
+            first = int(np.flatnonzero(chunk == 0)[0])
+            if to[first] == m:
+                return int(total[first])
+            lost = np.flatnonzero(~known & (chunk < n - 1))
+            more, states = chunk[lost] + 1, leave[lost]
 
 
 class Counter:
@@ -301,18 +366,19 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, text_col:
     three new ones, which are replaced.  An empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
-    keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    rest, keep = batched(docs, text_col, "n_bytes", "n_tokens", "over_limit")
+    new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
+    out = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)), *new])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = counter(shipped.value, max_states)
         for batch in batches:
-            for part in textops.slices(batch, text_col):
-                array = textops.as_arrow(part.column(text_col))
+            for part in textops.slices(batch, "text"):
+                array = textops.as_arrow(part.column("text"))
                 _, off = textops.text_bytes(array)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(off)), pa.array(machine.count(array))], out.fieldNames())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(off)), pa.array(machine.count(array))], out.fieldNames())
 
-    return docs.select(*keep, text_col).mapInArrow(rows, out).withColumn("over_limit", F.col("n_tokens") > limit)
+    return named(rest.mapInArrow(rows, out).withColumn("over_limit", F.col("n_tokens") > limit), keep)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
