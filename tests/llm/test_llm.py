@@ -110,6 +110,40 @@ def test_token_counts_random():
     assert found.tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_of_long_words():
+    """Chunk maps composed along pre-tokens of many chunks, and the bound on the states inside one run."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [letters(n) for n in (64, 65, 128, 129, 1000, 9000)] + ["ab" * 3000, "=-" * 400, "ing" * 999, " " * 500]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    with open(path, "rb") as f:
+        definition = f.read()
+    for most in (4000, 64):
+        machine = token_counts.Counter(definition, most)
+        lengths = []
+        forget = machine.merger._forget
+        machine.merger._forget = lambda used, forget=forget, lengths=lengths, m=machine.merger: (lengths.append(len(m.active)), forget(used))
+        assert machine.count(pa.array(texts)).tolist() == want
+        # one step adds a state for each chunk at most
+        assert lengths and max(lengths) <= most + 400
+
+
+def test_column_names(spark):
+    """Other columns pass through whatever their names; names like the new ones give way, in either case."""
+    table = spark.createDataFrame([(1, "some words here", 2, 3, 4)], "doc_id long, text string, `a.b` int, N_WORDS int, `KEPT` int")
+    assert quality.quality_report(table).columns[:3] == ["doc_id", "text", "a.b"] and quality.quality_report(table).first()["a.b"] == 2
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_counts.token_counts(table.withColumnRenamed("KEPT", "N_Tokens"), path)
+    assert out.columns == ["doc_id", "a.b", "N_WORDS", "n_bytes", "n_tokens", "over_limit"] and out.first()["N_WORDS"] == 3
+    out = pieces.encode_pieces(table.withColumnRenamed("KEPT", "Piece_Ids"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert out.columns == ["doc_id", "a.b", "N_WORDS", "n_pieces", "piece_ids"] and out.first()["a.b"] == 2
+    out = html_main.extract_main_text(table.withColumnRenamed("text", "html").withColumnRenamed("KEPT", "Text"))
+    assert out.columns == ["doc_id", "a.b", "N_WORDS", "text", "n_chars"] and out.first()["a.b"] == 2
+
+
 SECRETS = [
     'token="d0a04b0bc7124f2858f680f91f8983c82d99d996" x',
     "password: token: abcdefghijklmno and API-key=short Api_Key = 'Zz09+/_.=-Zz09' deadbeefdeadbeef0",
@@ -235,6 +269,16 @@ def test_near_duplicates_of_a_cluster(spark):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(root))
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts ties together what either text is near to."""
+    rng = random.Random(12)
+    x, y = prose(rng, 90), prose(rng, 90)
+    table = [(1, x), (1, y), (2, x + " end"), (3, y + " end"), (4, prose(rng, 90)), (4, prose(rng, 90)), (5, y)]
+    out = near_dups.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in out} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False)}
+    assert len(out) == len(table)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(30)] + [(100 + rng.randrange(20), 100 + rng.randrange(20)) for _ in range(15)] + [(200, 200)]
