@@ -16,10 +16,10 @@ is unique and makes the walk exact.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import re
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeframe.llm import textops
+from edgeframe.llm.shared import batched, named, others, quoted
 
 MARK = "▁"
 #: Distinct units whose ids a process keeps from slice to slice, about.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 200_000
+#: Pairs of pieces whose merging a process remembers.
+KEPT_PAIRS = 400_000
 #: Units over this many characters don't share; their ids would be copied at each step.
 LONG_UNIT = 256
 #: Bytes of text encoded at once: the more, the more prefixes are shared.
@@ -62,19 +65,27 @@ class Encoder:
             raise ValueError("pieces that cross a word's start are not supported")
         # byte-pair models score their pieces by rank
         self.merging = all(float(s).is_integer() for s in self.score.values() if s > -1e8)
+        #: What a character without a piece costs: the library's penalty of 10 under the least score.
+        self.unknown = min(self.score.values(), default=0.0) - 10.0
         known = {c for p in self.id for c in p}
-        # the lengths of pieces that end in two given characters, longest first
+        # the lengths of pieces that end in three given characters, and in two, longest first
         sizes: dict[str, set[int]] = {}
         for p in self.id:
-            if len(p) > 1:
-                sizes.setdefault(p[-2:], set()).add(len(p))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], set()).add(len(p))
+        twos = {p for p in self.id if len(p) == 2}
+        self.sizes = {k: (*sorted(v, reverse=True), *((2,) if k[1:] in twos else ())) for k, v in sizes.items()}
+        self.sizes2 = dict.fromkeys(twos, (2,))
         letters = "".join(re.escape(c) for c in sorted(known - {MARK}))
         self.unit = re.compile(f"{MARK}*[{letters}]+|{MARK}+|.", re.DOTALL) if letters else re.compile(".", re.DOTALL)
-        self.fits = functools.lru_cache(maxsize=1 << 17)(self._fits)
-        self.known = {p: (i,) for p, i in self.id.items()}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.plain = known - {" "}
+        #: Of each piece on the left: whether a piece stands whole to its right.
+        self.right: dict[str, dict[str, bool]] = {}
+        self.right_size = 0
+        # ids as 32-bit integers in a row
+        self.known = {p: struct.pack("=i", i) for p, i in self.id.items()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _merged(self, text: str) -> list[str]:
         """What byte-pair merging by score, leftmost first, leaves of ``text``."""
@@ -96,38 +107,94 @@ class Encoder:
             return len(right) == 1 or self._merged(right) == [right]
         return self._merged(left + right) == [left, right]
 
+    def _stands(self, left: str, right: str) -> bool:
+        """Whether merging leaves the piece ``right`` whole after ``left``; remembered."""
+        if self.right_size > KEPT_PAIRS:
+            # each table is dropped where it is; walks hold references to them
+            for table in self.right.values():
+                table.clear()
+            self.right_size = 0
+        found = self._fits(left, right)
+        self.right.setdefault(left, {})[right] = found
+        self.right_size += 1
+        return found
+
     def _last(self, unit: str, n: int, last: list[str], total: list[float]) -> tuple[str, float]:
         """The last piece of the encoding of ``unit[:n]``, and its score."""
-        fits, merging = self.fits, self.merging
         best = ("", -float("inf"))
-        for size in self.sizes.get(unit[n - 2 : n], ()) if n > 1 else ():
+        sizes = (self.sizes.get(unit[n - 3 : n]) if n > 2 else None) or (self.sizes2.get(unit[n - 2 : n], ()) if n > 1 else ())
+        for size in sizes:
             if size > n:
                 continue
             piece = unit[n - size : n]
             if piece not in self.score:
                 continue
-            if merging:
-                if fits(last[n - size], piece):
+            if self.merging:
+                if self._stands(last[n - size], piece):
                     return piece, 0.0
             elif (value := total[n - size] + self.score[piece]) > best[1]:
                 best = (piece, value)
         # a single character stands if nothing longer does; one that is no piece costs a unigram dearly
         single = unit[n - 1]
-        value = 0.0 if merging else total[n - 1] + self.score.get(single, -1e6)
-        return (single, value) if merging or value > best[1] else best
+        value = 0.0 if self.merging else total[n - 1] + self.score.get(single, self.unknown)
+        return (single, value) if self.merging or value > best[1] else best
 
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        if piece in self.id:
-            return (self.id[piece],)
-        return tuple(self.byte[b] for b in piece.encode()) if self.fallback else (self.library.unk_id(),)
+    def _ids(self, piece: str) -> bytes:
+        if piece in self.known:
+            return self.known[piece]
+        ids = [self.byte[b] for b in piece.encode()] if self.fallback else [self.library.unk_id()]
+        return struct.pack(f"={len(ids)}i", *ids)
 
-    def walk(self, units: list[str]) -> dict[str, tuple[int, ...]]:
+    def walk(self, units: list[str]) -> dict[str, bytes]:
         """The ids of distinct units."""
-        out: dict[str, tuple[int, ...]] = {}
-        # of each prefix of the unit at hand: the last piece, the score, the ids
-        before, last, total, ids = "", [""], [0.0], [()]
+        return self._walk_merging(sorted(units)) if self.merging else self._walk_scored(sorted(units))
+
+    def _walk_merging(self, units: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        # of each prefix of the unit at hand: the ids, and what stands whole after its last piece
+        before, ids = "", [b""]
+        score, right, known, stands, sizes_of, twos_of = self.score, self.right, self.known, self._stands, self.sizes.get, self.sizes2.get
+        last = [""]
+        after = [right.setdefault("", {})]
+        for unit in units:
+            length = len(unit)
+            if length > LONG_UNIT:
+                out[unit] = self._alone(unit)
+                continue
+            shared = 0
+            for x, y in zip(before, unit, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], ids[shared + 1 :], after[shared + 1 :]
+            for n in range(shared + 1, length + 1):
+                for size in sizes_of(unit[max(0, n - 3) : n]) or twos_of(unit[max(0, n - 2) : n], ()):
+                    if size > n:
+                        continue
+                    piece = unit[n - size : n]
+                    if piece not in score:
+                        continue
+                    found = after[n - size].get(piece)
+                    if found is None:
+                        found = stands(last[n - size], piece)
+                    if found:
+                        break
+                else:
+                    piece, size = unit[n - 1], 1
+                last.append(piece)
+                ids.append(ids[n - size] + (known.get(piece) or self._ids(piece)))
+                table = right.get(piece)
+                after.append(right.setdefault(piece, {}) if table is None else table)
+            out[unit] = ids[-1]
+            before = unit
+        return out
+
+    def _walk_scored(self, units: list[str]) -> dict[str, bytes]:
+        """Viterbi: of each prefix the best-scored last piece and the score."""
+        out: dict[str, bytes] = {}
+        before, last, total, ids = "", [""], [0.0], [b""]
         step, known = self._last, self.known
-        for unit in sorted(units):
+        for unit in units:
             if len(unit) > LONG_UNIT:
                 out[unit] = self._alone(unit)
                 continue
@@ -146,7 +213,15 @@ class Encoder:
             before = unit
         return out
 
-    def _alone(self, unit: str) -> tuple[int, ...]:
+    def _units(self, text: str) -> list[str]:
+        """The units of a normalised text."""
+        if MARK * 2 not in text and self.plain.issuperset(text):
+            # single marks, known characters: every mark starts a unit
+            found = text.replace(MARK, " " + MARK).split(" ")
+            return found if found[0] else found[1:]
+        return self.unit.findall(text)
+
+    def _alone(self, unit: str) -> bytes:
         """The ids of one long unit, read back from its last pieces."""
         last, total, found = [""], [0.0], []
         for n in range(1, len(unit) + 1):
@@ -157,29 +232,23 @@ class Encoder:
         while n:
             found.append(self.known.get(last[n]) or self._ids(last[n]))
             n -= len(last[n])
-        return tuple(itertools.chain.from_iterable(reversed(found)))
+        return b"".join(reversed(found))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        units = [self.unit.findall(self.library.normalize(t)) if t else [] for t in texts]
-        distinct = set(itertools.chain.from_iterable(units))
-        table = {u: ids for u in distinct if (ids := self.young.get(u) or self.old.get(u)) is not None}
-        table |= self.walk([u for u in distinct if u not in table])
+        units = [self._units(self.library.normalize(t)) if t else [] for t in texts]
         # units not met for a while go with their generation
-        self.young |= table
         if len(self.young) > KEPT_UNITS // 2:
             self.old, self.young = self.young, {}
-        number = {u: i for i, u in enumerate(table)}
-        sizes = np.fromiter(map(len, table.values()), np.int64, len(table))
-        flat = np.fromiter(itertools.chain.from_iterable(table.values()), np.int32, int(sizes.sum()))
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        count = np.fromiter(map(len, units), np.int64, len(units))
-        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(units)), np.int64, int(count.sum()))
-        size = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(first[at] - ends[:-1], size) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
-        per_text = ends[np.concatenate([[0], np.cumsum(count)])]
-        return ids, np.diff(per_text)
+        young, old, new = self.young, self.old, []
+        for u in set(itertools.chain.from_iterable(units)).difference(young):
+            if (ids := old.get(u)) is None:
+                new.append(u)
+            else:
+                young[u] = ids
+        young |= self.walk(new)
+        found = [b"".join(map(young.__getitem__, u)) for u in units]
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined, marks as spaces, the first mark dropped."""
@@ -238,34 +307,41 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", decoded:
     """
     shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
     new = [T.StructField("n_pieces", T.LongType()), T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded_sha256", T.StringType())] if decoded else [])]
-    keep = [c for c in docs.columns if c not in (text_col, *(f.name for f in new))]
-    out = T.StructType([*(docs.schema[c] for c in keep), *new])
+    rest, keep = batched(docs, text_col, *(f.name for f in new))
+    out = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)), *new])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(shipped.value)
         for batch in batches:
-            for part in textops.slices(batch, text_col, SLICE):
-                ids, count = machine.encode(textops.as_arrow(part.column(text_col)).to_pylist())
+            for part in textops.slices(batch, "text", SLICE):
+                ids, count = machine.encode(textops.as_arrow(part.column("text")).to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 digests = [pa.array([hashlib.sha256(t).hexdigest() for t in machine.decode_all(ids, count)], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(ids)), *digests], out.fieldNames())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(ids)), *digests], out.fieldNames())
 
-    return docs.select(*keep, text_col).mapInArrow(rows, out)
+    return named(rest.mapInArrow(rows, out), keep)
 
 
 def decode_pieces(docs: DataFrame, model: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text of its ids; a null list gives a null text."""
+    """``docs`` with the text of its ids, as the library decodes them.
+
+    A null list gives a null text, an empty one an empty text.  Other columns
+    are kept, whatever their names; one named like the new one is replaced;
+    repeated rows pass through.  An empty table gives an empty result.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
-    keep = [c for c in docs.columns if c != text_col]
-    out = T.StructType([*(docs.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
+    keep = others(docs, text_col)
+    rest = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)), F.col(quoted(ids_col)).alias("ids"))
+    fields = [T.StructField(c, f.dataType) for c, f in zip(keep, rest.schema, strict=False)]
+    out = T.StructType([*rest.schema.fields[:-1], T.StructField(text_col, T.StringType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(shipped.value)
         for batch in batches:
-            texts = [None if ids is None else machine.decode(ids) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], out.fieldNames())
+            texts = [None if ids is None else machine.decode(ids) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], out.fieldNames())
 
-    return docs.mapInArrow(rows, out)
+    return named(rest.mapInArrow(rows, out), fields)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
