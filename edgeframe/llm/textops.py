@@ -157,6 +157,12 @@ class Words:
         return out, valid
 
 
+def sequence_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each row of word hashes, as :meth:`Words.grams` gives it."""
+    n = hashes.shape[1]
+    return mix((hashes * _power(_B_SEQ, n)).sum(axis=1, dtype=np.uint64) + np.uint64(n))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """``min(values[i : i + width])`` for each i; the last ``width - 1`` are partial."""
     out, span = values.copy(), 1

@@ -293,15 +293,18 @@ def test_components(spark):
 
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(21)
-    items = [(k, prose(rng, 15 + 6 * k)) for k in range(8)] + [(90, None), (91, "too short")]
+    items = [(k, prose(rng, 15 + 6 * k)) for k in range(8)] + [(90, None), (91, "qqfour qqwords, right here"), (92, " ... ")]
     filler = lambda n: prose(rng, n)
     leaky = [(1000 + k, f"{filler(37 * k)} {t} {filler(50)}") for k, t in items[:8]]
     loose = [w if rng.random() > 0.12 else "other" for w in items[6][1].split()]
     leaky += [(2000, filler(100) + " " + " ".join(loose).upper() + ". " + filler(90)), (2001, filler(3000) + items[2][1])]
+    leaky += [(2002, "zz qqfour (Qqwords) right here zz"), (2003, "zz qqfour qqwords right zz here")]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*leaky, (None, items[1][1])], "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in latent.benchmark_leaks(table, bench).collect()}
-    assert found == {(1000 + k, k) for k in range(8)} | {(2000, 6), (2001, 2)}
+    assert found == {(1000 + k, k) for k in range(8)} | {(2000, 6), (2001, 2), (2002, 91)}
+    clash = table.selectExpr("doc_id", "text", "1 as item_id", "2 as share", "3 as `a.b`")
+    assert {(r.doc_id, r.item_id) for r in latent.benchmark_leaks(clash, bench.selectExpr("*", "1 as doc_id", "2 as `a.b`")).collect()} == found
     assert latent.benchmark_leaks(empty, bench).count() == 0
     assert latent.benchmark_leaks(table, bench.limit(0)).count() == 0
     assert latent.weighted_lcs(np.array([1, 2, 3, 9, 4]), np.array([2, 4, 3]), np.array([1.0, 5.0, 2.0])) == 6.0
@@ -327,6 +330,69 @@ def test_decontamination_recall(spark):
     assert {(r.doc_id, r.item_id, r.lcs_share) for r in latent.benchmark_leaks(same, bench.limit(1)).collect()} == {(i, 0, 1.0) for i in range(5)}
 
 
+def test_decontamination_of_paraphrases(spark):
+    """Held-out recall on edited items: words replaced, halves swapped; and none of the clean documents."""
+    rng = random.Random(23)
+    lexicon = [f"w{k}" for k in range(6000)]
+    weights = [1 / (k + 3) for k in range(6000)]
+    draw = lambda n: rng.choices(lexicon, weights, k=n)
+    edits = [
+        lambda t: [f"r{rng.randrange(9**6)}" if i % 3 == 2 else w for i, w in enumerate(t)],
+        lambda t: [f"r{rng.randrange(9**6)}" if i % 2 else w for i, w in enumerate(t)],
+        lambda t: t[len(t) // 2 :] + t[: len(t) // 2],
+        lambda t: [x for w in t for x in ((w, *draw(1)) if rng.random() < 0.25 else (w,))],
+    ]
+    items = [draw(40) for _ in range(60)]
+    table = [(1000 * e + k, " ".join([*draw(rng.randrange(150)), *edit(t), *draw(rng.randrange(150))])) for e, edit in enumerate(edits) for k, t in enumerate(items)]
+    table += [(9000 + k, " ".join(draw(300))) for k in range(200)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in latent.benchmark_leaks(spark.createDataFrame(table, "doc_id long, text string"), bench).collect()}
+    for e in range(len(edits)):
+        assert len(found & {(1000 * e + k, k) for k in range(60)}) >= 54
+    assert all(doc % 1000 == item for doc, item in found)
+
+
+def test_latent_space(spark):
+    """The basis spans what the leading singular vectors of the whole matrix span."""
+    rng = np.random.default_rng(4)
+    docs = [" ".join(f"t{c}x{w}" for w in rng.integers(0, 6, 40)) for c in rng.integers(0, 4, 60)]
+    vocabulary = np.unique(latent.normal_words(pa.array(docs))[1])
+    schema = "doc long, sizes array<int>, features array<int>"
+    runs = spark.createDataFrame(list(enumerate(docs)), "doc long, text string").mapInArrow(latent._block_rows(vocabulary), schema)
+    rows = [np.searchsorted(vocabulary, np.unique(latent.normal_words(pa.array([t]))[1])) for t in docs]
+    dense = np.zeros((len(docs) + 1, len(vocabulary)), np.float32)
+    for i, r in enumerate([*rows, rows[0][:3]]):
+        dense[i, r] = 2.0 if i == len(docs) else 1.0
+    space = latent.latent_space(runs, np.zeros(3, int), rows[0][:3], 1, np.ones(len(vocabulary), np.float32), 2.0, rank=4)
+    assert space.shape == (len(vocabulary), 4) and np.allclose(space.T @ space, np.eye(4), atol=1e-3)
+    best = np.linalg.svd(dense)[1][:4]
+    assert np.linalg.norm(dense @ space) >= 0.99 * np.linalg.norm(best)
+
+
+def test_pieces_by_score():
+    """The unigram walk finds the best-scored segmentation, as does trying them all."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        machine = pieces.Encoder(f.read())
+    rng = random.Random(7)
+    machine.merging = False
+    machine.score = {p: -rng.random() * 9 - 1 for p in machine.score}
+    machine.unknown = min(machine.score.values()) - 10
+    units = sorted({"".join(rng.choice("▁theingaos") for _ in range(rng.randint(1, 9))) for _ in range(300)})
+
+    def splits(text):
+        if not text:
+            yield ()
+        for n in range(1, len(text) + 1):
+            if n == 1 or text[:n] in machine.score:
+                yield from ((text[:n], *rest) for rest in splits(text[n:]))
+
+    cost = lambda parts: sum(machine.score.get(p, machine.unknown) for p in parts)
+    for unit, ids in machine.walk(units).items():
+        parts = [machine.pieces[i] for i in np.frombuffer(ids, np.int32).tolist()]
+        assert "".join(parts) == unit and abs(cost(parts) - max(map(cost, splits(unit)))) < 1e-6
+
+
 def test_pieces(docs, rows, empty):
     import sentencepiece
 
