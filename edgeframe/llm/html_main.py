@@ -1,8 +1,8 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page becomes a list of text blocks with their place in the tree.  A linear
-classifier over tags, class names, links and prose gives each block the cost
-of either label; these costs are the terminal capacities of a flow network.
+classifier over tags, class names, links and prose, whose weights are set by
+hand and not fitted, gives each block the cost of either label; these costs are the terminal capacities of a flow network.
 Neighbouring blocks are tied by smoothness edges, the closer in the tree the
 stronger.  The minimum cut, found by max-flow, is the cheapest labelling of
 the whole page: blocks left on the source's side are its main text.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from edgeframe.llm import textops
+from edgeframe.llm.shared import batched, named
 
 # HTML's element kinds.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -181,21 +182,60 @@ def _edges(found: list[_Block]) -> list[tuple[int, int, int]]:
 
 
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes stay with the source when the cut is cheapest.
+    """Which nodes stay with the source when the cut is cheapest; of several cheapest cuts the smallest side.
 
     A node with score s > 0 is tied to the source by s, otherwise to the sink
-    by -s; edges bind both ways.  Shortest augmenting paths (breadth first).
-    Without flow left, nodes reachable from the source are its side.
+    by -s; edges bind both ways.  Nodes with two neighbours at most are
+    contracted first: the flow through such a node becomes flow from or to its
+    neighbours and between them.  Blocks of a page tie to the one before and to
+    the last one under the same parent, so contraction takes nearly all of them
+    and the time grows with the page; max-flow cuts what is left.
     """
     n = len(scores)
-    over = [max(0, s) for s in scores]  # left in the edge from the source
-    under = [max(0, -s) for s in scores]  # left in the edge to the sink
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    scores = list(scores)
+    near: list[dict[int, int]] = [{} for _ in range(n)]  # near[a][b]: the price of a at the source and b at the sink
     for a, b, weight in edges:
         near[a][b] = near[a].get(b, 0) + weight
         near[b][a] = near[b].get(a, 0) + weight
+    gone: list[tuple] = []
+    done = [False] * n
+    todo = [i for i in range(n) if len(near[i]) <= 2]
+    while todo:
+        v = todo.pop()
+        if done[v] or len(near[v]) > 2:
+            continue
+        done[v] = True
+        ties = [(a, near[v][a], near[a][v]) for a in near[v]]  # neighbour, v at the source alone, neighbour alone
+        gone.append((v, scores[v], ties))
+        for a, _, _ in ties:
+            del near[a][v]
+        s = scores[v]
+        if len(ties) == 1:
+            (a, va, av), = ties
+            # the least price of v, its neighbour at the sink (0) or the source (1)
+            scores[a] += min(0, -s + va) - min(av, -s)
+        elif len(ties) == 2:
+            (a, va, av), (b, vb, bv) = ties
+            p00, p10, p01, p11 = min(0, -s + va + vb), min(av, -s + vb), min(bv, -s + va), min(av + bv, -s)
+            scores[a] -= p11 - p01
+            scores[b] -= p01 - p00
+            near[a][b] = near[a].get(b, 0) + p10 + p01 - p00 - p11
+            near[b].setdefault(a, 0)
+        todo += [a for a, _, _ in ties if len(near[a]) <= 2]
+    rest = [i for i in range(n) if not done[i]]
+    side = _max_flow(rest, scores, near)
+    for v, s, ties in reversed(gone):
+        # at the source only where that is cheaper
+        side[v] = sum(0 if side[a] else va for a, va, _ in ties) - s < sum(av if side[a] else 0 for a, _, av in ties)
+    return [side[i] for i in range(n)]
+
+
+def _max_flow(nodes: list[int], scores: list[int], near: list[dict[int, int]]) -> dict[int, bool]:
+    """The source's side of the nodes, by shortest augmenting paths; what the source still reaches is its side."""
+    over = {i: max(0, scores[i]) for i in nodes}  # left in the edge from the source
+    under = {i: max(0, -scores[i]) for i in nodes}  # left in the edge to the sink
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if over[i]}
+        came: dict[int, int] = {i: -1 for i in nodes if over[i]}
         queue, end = deque(came), -1
         while queue:
             i = queue.popleft()
@@ -207,7 +247,7 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
                     came[j] = i
                     queue.append(j)
         if end < 0:
-            return [i in came for i in range(n)]
+            return {i: i in came for i in nodes}
         path = [end]
         while came[path[-1]] >= 0:
             path.append(came[path[-1]])
@@ -235,16 +275,16 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     replaced; repeated rows are treated alike.  Broken markup and cut-off pages
     are read as far as they go.  An empty table gives an empty result.
     """
-    keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    out = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    rest, keep = batched(pages, html_col, "text", "n_chars")
+    out = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch, html_col):
-                texts = [main_text(page) if page else "" for page in part.column(html_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], out.fieldNames())
+            for part in textops.slices(batch, "text"):
+                texts = [main_text(page) if page else "" for page in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], out.fieldNames())
 
-    return pages.select(*keep, html_col).mapInArrow(rows, out)
+    return named(rest.mapInArrow(rows, out), keep)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

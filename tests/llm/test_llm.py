@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import zstandard
 
 from edgeframe.llm import html_main, latent, licenses, near_dups, pieces, quality, secrets, sharding, substring, textops, token_counts
 
@@ -217,10 +220,14 @@ def test_compression_bands(spark):
     noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() < 0.5 else chr(rng.randrange(33, 126)) for _ in range(9)) for _ in range(900))
     loop = " ".join(f"item number {i % 3} of the very same list again" for i in range(300))
     half = prose(rng, 400) + " " + "".join(f"{i}abc " for i in range(3)) + "qwertyuiop " * 3
-    table = spark.createDataFrame([(0, prose(rng, 600)), (1, loop), (2, half)], "doc_id long, text string")
-    kept = {r.doc_id: r.kept for r in quality.quality_report(table).collect()}
-    assert kept == {0: True, 1: False, 2: True}
-    assert noise and quality.band(len(noise))[0] > 1
+    coded = lambda n: " ".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(n))
+    long = prose(rng, 2000)
+    table = spark.createDataFrame([(0, prose(rng, 600)), (1, loop), (2, half), (3, noise), (4, coded(200)), (5, coded(40)), (6, long), (7, long + " " + coded(400))], "doc_id long, text string")
+    out = {r.doc_id: r for r in quality.quality_report(table).collect()}
+    assert {i: r.kept for i, r in out.items()} == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False, 6: True, 7: False}
+    # the rest after the last whole chunk is judged too
+    tail = prose(rng, 4000)[: 2 * quality.CHUNK] + coded(40)
+    assert quality._ratios(zstandard.ZstdCompressor(level=quality.LEVEL), tail.encode())[1] > 0
 
 
 def test_near_duplicates(docs, rows, empty):
@@ -467,7 +474,29 @@ def test_minimum_cut():
             return sum(max(0, s) if not x else max(0, -s) for s, x in zip(scores, side, strict=True)) + sum(w for a, b, w in edges if side[a] != side[b])
 
         best = min(price([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
-        assert price(html_main.minimum_cut(scores, edges)) == best
+        found = html_main.minimum_cut(scores, edges)
+        assert price(found) == best
+        sides = [[bool(m >> i & 1) for i in range(n)] for m in range(1 << n)]
+        assert found == [all(x) for x in zip(*(x for x in sides if price(x) == best), strict=True)]
+
+
+def test_long_pages():
+    """50,000 blocks that only their neighbours decide: the cut stays near-linear and exact."""
+    rng = random.Random(16)
+    scores = [rng.choice([-6, -2, 3, 5]) for _ in range(50_000)]
+    edges = [(i - 1, i, 16) for i in range(1, 50_000)] + [(i - 50, i, 8) for i in range(50, 50_000, 50)]
+    began = time.time()
+    found = html_main.minimum_cut(scores, edges)
+    assert time.time() - began < 20
+    # a chain alone has an exact recurrence
+    chain = html_main.minimum_cut(scores, edges[:49_999])
+    low = [0, 0]
+    for i, s in enumerate(scores):
+        own = (max(0, s), max(0, -s))
+        low = [min(low[x], low[1 - x] + (16 if i else 0)) + own[x] for x in (0, 1)]
+    price = sum(max(0, s) if not x else max(0, -s) for s, x in zip(scores, chain, strict=True)) + sum(w for a, b, w in edges[:49_999] if chain[a] != chain[b])
+    assert price == min(low) and len(found) == 50_000
+    assert html_main.main_text("<div class=comments><p>ok</p></div>" * 20_000 + "<article>" + "<p>Some text here that counts. Yes.</p>" * 2000) == "\n".join(["Some text here that counts. Yes."] * 2000)
 
 
 def test_pipeline(spark, rows, tmp_path):
