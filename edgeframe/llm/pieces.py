@@ -34,13 +34,13 @@ from edgeframe.llm.shared import batched, named, others, quoted
 
 MARK = "▁"
 #: Distinct units whose ids a process keeps from slice to slice, about.
-KEPT_UNITS = 200_000
+KEPT_UNITS = 150_000
 #: Pairs of pieces whose merging a process remembers.
-KEPT_PAIRS = 400_000
+KEPT_PAIRS = 250_000
 #: Units over this many characters don't share; their ids would be copied at each step.
 LONG_UNIT = 256
 #: Bytes of text encoded at once: the more, the more prefixes are shared.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Encoder:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeframe.llm import textops
-from edgeframe.llm.shared import named, others, quoted
+from edgeframe.llm.shared import named, others, quoted, small_batches
 
 #: Length limits: (bytes below which the band holds, least ratio, greatest ratio).
 BANDS = ((100, 0.0, 3.0), (400, 0.75, 4.0), (2000, 1.2, 6.0), (10_000, 1.4, 8.0), (float("inf"), 1.5, 10.0))
@@ -100,6 +100,7 @@ def quality_report(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     new = (*COUNTS, "zstd_ratio", "bad_chunks")
     keep = [T.StructField(c, docs.select(quoted(c)).schema[0].dataType) for c in others(docs, *new, "base_failed", "kept")]
+    small_batches(docs.sparkSession)
     place = [f.name.lower() for f in keep].index(text_col.lower())
     text = f"c{place}"
     rest = docs.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(keep)))

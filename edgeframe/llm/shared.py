@@ -29,12 +29,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+#: Rows and bytes of an Arrow batch, at most: a task's Python worker holds a batch and its copies.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session be small, unless it sets their size itself."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if key not in _default:
+            _default[key] = spark.conf.get(key, None)
+        if spark.conf.get(key, None) == _default[key] and not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
+_default: dict[str, str | None] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there.
 
     Survives the loss of any executor, as the files are not theirs.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -66,6 +83,7 @@ def batched(df: DataFrame, text_col: str, *taken: str) -> tuple[DataFrame, list[
 
     For functions over Arrow batches: columns are named by place, so no name can clash or need quoting.
     """
+    small_batches(df.sparkSession)
     keep = others(df, text_col, *taken)
     fields = [T.StructField(c, df.select(quoted(c)).schema[0].dataType) for c in keep]
     return df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)), F.col(quoted(text_col)).alias("text")), fields

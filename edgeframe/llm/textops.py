@@ -9,6 +9,7 @@ bytes of one slice (:func:`slices`), never of a whole partition.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -84,6 +85,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, n], strict=True):
         yield batch.slice(a, b - a)
+    if sizes.sum() > 2 * limit:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
 
 
 class Words:
@@ -186,6 +207,12 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    values = np.sort(values)
+    return values[changes(values)]
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's signed longs."""
     return values.astype(np.uint64).view(np.int64)
