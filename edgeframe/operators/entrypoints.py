@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edgeframe.functions.columns import any_match, base_name
 from edgeframe.model import AnalysisError
 
+# Words that make a function an entry point.
 CONTROLLER_WORDS = ("get", "post", "put", "delete", "patch", "head", "options", "handle", "create", "update", "remove", "list")
 HANDLER_WORDS = ("handler", "handle", "route", "middleware")
 MAIN_NAMES = ("main", "start", "init", "bootstrap", "run", "execute")

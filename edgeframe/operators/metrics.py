@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgeframe.functions.columns import base_name, short_path
@@ -91,6 +92,22 @@ def cognitive(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFram
     return fans.join(cycles, "graph_id", "left").select("graph_id", (2 * F.coalesce("n", F.lit(0)) + F.floor("avg_fan")).alias("cognitive"))
 
 
+def bundle(nodes: DataFrame, edges: DataFrame, cycles: DataFrame, top: int = 10) -> DataFrame:
+    """One row a graph: functions, calls, files, both complexities, and ``hotspots``, the ``top`` most called nodes.
+
+    ``cycles`` has (graph_id, n).  Hotspots are (id, n) by calls, then id; the
+    rank limit holds before the shuffle, so a large graph sends ``top`` rows a task.
+    """
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("functions"), F.countDistinct("file_path").alias("files"))
+    e = edges.groupBy("graph_id").agg(F.count("*").alias("calls"))
+    called = edges.groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    best = called.withColumn("rank", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("n"), "id"))).filter(F.col("rank") <= top)
+    hot = best.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "n"))), lambda h: F.struct(h["id"].alias("id"), h["n"].alias("n"))).alias("hotspots"))
+    out = n.join(e, "graph_id", "left").join(cyclomatic(nodes, edges).select("graph_id", "cyclomatic"), "graph_id", "left").join(cognitive(nodes, edges, cycles), "graph_id", "left").join(hot, "graph_id", "left")
+    none = F.array().cast("array<struct<id:string,n:bigint>>")
+    return out.select("graph_id", "functions", F.coalesce("calls", F.lit(0)).alias("calls"), "files", "cyclomatic", F.coalesce("cognitive", F.lit(0)).alias("cognitive"), F.coalesce("hotspots", none).alias("hotspots"))
+
+
 def batch_summary(runs: DataFrame) -> DataFrame:
     """Totals over (success, millis) rows of a batch."""
     return runs.agg(F.count("*").alias("total"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.sum("millis").alias("millis"))

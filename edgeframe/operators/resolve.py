@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeframe.model import CallGraph
+from edgeframe.scratch import written
 
 FUNCTIONS = ("function", "arrow", "method", "constructor", "getter", "setter")
 
@@ -19,20 +20,21 @@ def function_nodes(facts: DataFrame, graph_id: str = "project") -> DataFrame:
     )
 
 
-def exported_symbols(facts: DataFrame, rounds: int = 10) -> DataFrame:
+def exported_symbols(facts: DataFrame) -> DataFrame:
     """(path, exported, def_path, def_name): where each exported name is declared.
 
-    Re-exports are followed until nothing new is found.
+    Re-exports are followed until nothing new is found, a hop a round.
     """
     declared = facts.filter(F.col("kind").isin("function", "arrow", "class") & (F.col("exported") | F.col("is_default"))).select("path", F.when(F.col("is_default"), "default").otherwise(F.col("name")).alias("exported"), F.col("path").alias("def_path"), F.col("name").alias("def_name"))
     listed = facts.filter((F.col("kind") == "export") & F.col("target").isNull()).select("path", F.col("name").alias("exported"), F.col("path").alias("def_path"), F.col("member").alias("def_name"))
     known = declared.unionByName(listed).distinct()
     again = _to_files(facts.filter((F.col("kind") == "export") & F.col("target").isNotNull()), facts).select(F.col("path").alias("from_path"), F.col("name").alias("as_name"), "member", "target_path")
     count = known.count()
-    for _ in range(rounds):
+    while True:
         hop = again.join(known, (F.col("target_path") == F.col("path")) & ((F.col("member") == F.col("exported")) | ((F.col("member") == "*") & (F.col("exported") != "default"))))
         more = hop.select(F.col("from_path").alias("path"), F.when(F.col("as_name") == "*", F.col("exported")).otherwise(F.col("as_name")).alias("exported"), "def_path", "def_name")
-        known = known.unionByName(more).distinct().persist()
+        # written, as the plan would grow by each hop
+        known = written(known.unionByName(more).distinct(), "exports")
         before, count = count, known.count()
         if count == before:
             break

@@ -28,7 +28,8 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, keys:
     of round n does not hold those before it.
     """
     keys = list(keys)
-    adj = adjacency(edges).select("graph_id", F.col("src").alias("id"), "dst").persist()
+    # dealt by what every round joins on, so that only the frontier moves
+    adj = adjacency(edges).select("graph_id", F.col("src").alias("id"), "dst").repartition("graph_id", "id").persist()
     frontier = written(starts.select(*keys, "id").distinct().withColumn("depth", F.lit(0)), "bfs")
     rounds, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
@@ -192,11 +193,14 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return inside.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame, bound: int = 100) -> DataFrame:
-    """(graph_id, id, level): nodes on the longest way from a root, counted from 1, at most ``bound``.
+def longest_paths(nodes: DataFrame, edges: DataFrame, bound: int | None = None) -> DataFrame:
+    """(graph_id, id, level): nodes on the longest way from a root, counted from 1.
 
-    For acyclic graphs; on a cycle the bound ends it.
+    For acyclic graphs, whose ways have as many nodes as the largest graph at
+    most; on a cycle that number, or ``bound``, ends it.  A round is a layer.
     """
+    if bound is None:
+        bound = nodes.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
     adj = adjacency(edges).persist()
     level = written(roots(nodes, edges).withColumn("level", F.lit(1)), "longest")
     best = level
@@ -242,22 +246,26 @@ def _ordered(pdf: pd.DataFrame) -> dict[str, list[str]]:
 
 
 def dfs_order(edges: DataFrame, starts: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """(graph_id, id, dfs_ord, depth): preorder from the start, neighbours in order of appearance."""
-    rows = edges.join(starts.select("graph_id", F.col("id").alias("start")), "graph_id").select("graph_id", "ord", "src", "dst", "start")
+    """(graph_id, id, dfs_ord, depth): preorder from the starts, neighbours in order of appearance.
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, start = _ordered(pdf), pdf["start"].iloc[0]
-        seen, out, stack = set(), [], [(start, 0)]
+    Several starts of a graph are walked one after the other by id, each over
+    what is left; a start without edges is a row of its own.
+    """
+
+    def walk(key: tuple, calls: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        near, seen, out = _ordered(calls), set(), []
+        stack = [(node, 0) for node in sorted(set(begin["id"]), reverse=True)]
         while stack:
             node, depth = stack.pop()
             if node in seen or depth > bound:
                 continue
             seen.add(node)
-            out.append((pdf["graph_id"].iloc[0], node, len(out), depth))
+            out.append((key[0], node, len(out), depth))
             stack.extend((n, depth + 1) for n in reversed(near.get(node, [])))
         return pd.DataFrame(out, columns=["graph_id", "id", "dfs_ord", "depth"])
 
-    return rows.groupBy("graph_id").applyInPandas(walk, "graph_id string, id string, dfs_ord long, depth long")
+    calls, begin = edges.select("graph_id", "ord", "src", "dst").groupBy("graph_id"), starts.select(F.col("graph_id").alias("graph"), "id").groupBy("graph")
+    return calls.cogroup(begin).applyInPandas(walk, "graph_id string, id string, dfs_ord long, depth long")
 
 
 def back_edge_cycles(edges: DataFrame) -> DataFrame:

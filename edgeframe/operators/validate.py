@@ -157,9 +157,10 @@ def difference(graph: CallGraph, spec: Specification) -> DataFrame:
     return present.unionByName(missing).unionByName(extra)
 
 
-def report(graph: CallGraph, spec: Specification, graph_id: str, entry: DataFrame | None = None, most: int = 1000) -> str:
-    """The text report of one graph: its summary, then its first errors."""
+def report(graph: CallGraph, spec: Specification, graph_id: str, entry: DataFrame | None = None) -> str:
+    """The text report of one graph: its summary, then every error in order."""
     one = summary(graph, spec, entry).filter(F.col("graph_id") == graph_id).first()
-    rows = violations(graph, spec, entry).filter(F.col("graph_id") == graph_id).orderBy("phase", "rule_ord", "message").limit(most).collect()
-    lines = [f"Validation {'passed' if one.is_valid else 'failed'}: {one.errors} errors", f"Required edges: {one.required_found}/{one.required_total}", *(f"- {r.kind}: {r.message}" for r in rows)]
+    rows = violations(graph, spec, entry).filter(F.col("graph_id") == graph_id).select("kind", "message", "phase", "rule_ord").orderBy("phase", "rule_ord", "message")
+    lines = [f"Validation {'passed' if one.is_valid else 'failed'}: {one.errors} errors", f"Required edges: {one.required_found}/{one.required_total}"]
+    lines += [f"- {r.kind}: {r.message}" for r in rows.toLocalIterator()]
     return "\n".join(lines)

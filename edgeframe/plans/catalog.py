@@ -284,7 +284,7 @@ def call_tree(spark, d):
     return traverse.call_tree(g.edges, g.nodes.join(F.broadcast(first), "ord").select("graph_id", "id"))
 
 
-@query("trv2_dfs_order", TALK + "SELECT graph_id, id, row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1 AS dfs_ord, row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1 AS depth FROM n WHERE graph_id IN (SELECT graph_id FROM e)")
+@query("trv2_dfs_order", TALK + "SELECT graph_id, id, row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1 AS dfs_ord, row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1 AS depth FROM n")
 def dfs_order(spark, d):
     g = tables.dialogue_graph(spark, d)
     return traverse.dfs_order(g.edges, traverse.roots(g.nodes, g.edges))
@@ -422,15 +422,8 @@ def comparison(spark, d):
 # --- joins, sorts, sets ---------------------------------------------------------------------------
 
 
-@query("jn1_edge_names", G + "SELECT s.name AS source_name, t.name AS target_name, e.type, count(*) AS n FROM e LEFT JOIN n s ON s.id = src LEFT JOIN n t ON t.id = dst WHERE src LIKE 'nation#%' OR src LIKE 'region#%' GROUP BY ALL")
+@query("jn1_edge_names", G + "SELECT coalesce(s.name, 'unknown') AS source_name, coalesce(t.name, 'unknown') AS target_name, e.type, count(*) AS n FROM e LEFT JOIN n s ON s.id = src LEFT JOIN n t ON t.id = dst GROUP BY ALL")
 def edge_names(spark, d):
-    g = _g(spark, d)
-    few = g.edges.filter("src like 'nation#%' or src like 'region#%'")
-    return named_edges(g.nodes, few).groupBy("source_name", "target_name", "type").agg(F.count("*").alias("n"))
-
-
-@query("jn1_edge_names_whole", G + "SELECT coalesce(s.name, 'unknown') AS source_name, coalesce(t.name, 'unknown') AS target_name, e.type, count(*) AS n FROM e LEFT JOIN n s ON s.id = src LEFT JOIN n t ON t.id = dst GROUP BY ALL")
-def edge_names_whole(spark, d):
     g = _g(spark, d)
     return named_edges(g.nodes, g.edges).groupBy("source_name", "target_name", "type").agg(F.count("*").alias("n"))
 

@@ -6,8 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from edgeframe.model import CallGraph
-from edgeframe.operators import entrypoints, filters, resolve, traverse
+from edgeframe.operators import entrypoints, filters, metrics, resolve, traverse
 from edgeframe.plans.catalog import TALK, G, query
 from edgeframe.scratch import folder, written
 from edgeframe.sinks import lines
@@ -37,15 +36,6 @@ def _facts(spark):
     return typescript.extract(_sources(spark))
 
 
-def _few(spark, d) -> CallGraph:
-    g = tables.entity_graph(spark, d)
-    nodes = g.nodes.filter("id like 'region#%' or id like 'nation#%'")
-    return CallGraph(nodes, g.edges.filter("src like 'region#%'"))
-
-
-FEW = G + ", k AS (SELECT * FROM n WHERE id LIKE 'region#%' OR id LIKE 'nation#%'), f AS (SELECT * FROM e WHERE src LIKE 'region#%') "
-
-
 @query("ext2_functions")
 def ext_functions(spark, d):
     return resolve.function_nodes(_facts(spark)).select("id", "name", "type", "is_async", "is_static", "visibility", "return_type", "line")
@@ -127,34 +117,9 @@ def diagram_edges(spark, d):
 # --- formats --------------------------------------------------------------------------------------
 
 
-@query("snk3_json_simple", FEW + """SELECT 'nodes' AS section, '{"id":"' || id || '","name":"' || name || '"}' AS line FROM k UNION ALL SELECT 'edges', '{"source":"' || src || '","target":"' || dst || '"}' FROM f""")
-def json_simple(spark, d):
-    return lines.json_lines(_few(spark, d), "simple").select("section", "line")
-
-
-@query("snk3_json_compact", FEW + """, i AS (SELECT id, row_number() OVER (ORDER BY ord) - 1 AS i FROM k) SELECT 'nodes' AS section, '["' || id || '","' || name || '","' || type || '"]' AS line FROM k UNION ALL SELECT 'edges', '[' || s.i || ',' || t.i || ',"' || f.type || '"]' FROM f JOIN i s ON s.id = src JOIN i t ON t.id = dst""")
-def json_compact(spark, d):
-    return lines.json_lines(_few(spark, d), "compact").select("section", "line")
-
-
-@query("snk5_yaml_lines", FEW + """SELECT 'functions' AS section, '  - {name: "' || name || '", file: "' || file_path || '", line: ' || line || ', type: ' || type || ', async: ' || is_async || '}' AS line FROM k UNION ALL SELECT 'calls', '  - {from: "' || s.name || '", to: "' || t.name || '", type: ' || f.type || '}' FROM f JOIN k s ON s.id = src JOIN k t ON t.id = dst""")
-def yaml_lines(spark, d):
-    return lines.yaml_lines(_few(spark, d)).select("section", "line")
-
-
 _KEY = "regexp_replace(regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g')"
 
 
-@query("snk9_mermaid_lines", FEW + f"""SELECT 'nodes' AS section, '  ' || {_KEY.format("name")} || CASE type WHEN 'method' THEN '[["' || name || '"]]' ELSE '["' || name || '"]' END AS line FROM k UNION ALL SELECT 'edges', '  ' || {_KEY.format("s.name")} || ' --> ' || {_KEY.format("t.name")} FROM f JOIN k s ON s.id = src JOIN k t ON t.id = dst""")
-def mermaid_lines(spark, d):
-    return lines.mermaid_lines(_few(spark, d)).select("section", "line")
-
-
-@query("snk10_mermaid_clusters", FEW + "SELECT 'nodes:' || file_path AS section, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'edges', count(*) FROM f")
-def mermaid_clusters(spark, d):
-    return lines.mermaid_lines(_few(spark, d), clusters=True).groupBy("section").agg(F.count("*").alias("n"))
-
-
 @query("snk11_sequence", TALK + "SELECT graph_id, 'steps' AS section, count(*) AS n FROM e WHERE ord <= (SELECT min(ord) FROM n) + 5 GROUP BY ALL UNION ALL SELECT graph_id, 'participants', least(count(*), 7) FROM n GROUP BY ALL HAVING count(*) > 1")
 def sequence(spark, d):
     g = tables.dialogue_graph(spark, d)
@@ -162,20 +127,6 @@ def sequence(spark, d):
     return lines.sequence_lines(g.nodes, steps).groupBy("graph_id", "section").agg(F.count("*").alias("n"))
 
 
-@query("snk14_dot_lines", FEW + """SELECT 'nodes' AS section, '  "' || id || '" [label="' || name || '", shape=' || CASE type WHEN 'method' THEN 'ellipse' ELSE 'box' END || ', tooltip="' || split_part(file_path, '/', 3) || ':' || line || '"' || CASE WHEN is_async THEN ', style=filled' ELSE '' END || '];' AS line FROM k UNION ALL SELECT 'edges', '  "' || src || '" -> "' || dst || '" [style=solid];' FROM f""")
-def dot_lines(spark, d):
-    return lines.dot_lines(_few(spark, d)).select("section", "line")
-
-
-@query("snk17_saved_lines", FEW + "SELECT 'nodes' AS section, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM f")
-def saved(spark, d):
-    path = f"{folder(spark)}/saved-{uuid.uuid4().hex}"
-    lines.save(_few(spark, d), path, "dot")
-    return spark.read.text(path).groupBy("section").agg(F.count("*").alias("n"))
-
-
-# The same writers over the whole entity graph.
-
 WHOLE = G + ", k AS (SELECT * FROM n), f AS (SELECT * FROM e) "
 _ENDS = "FROM f LEFT JOIN k s ON s.id = src LEFT JOIN k t ON t.id = dst"
 _KEYED = f""", u AS (SELECT *, {_KEY.format("name")} AS safe FROM k), v AS (SELECT *, safe || CASE row_number() OVER (PARTITION BY safe ORDER BY ord, id) WHEN 1 THEN '' ELSE '_' || row_number() OVER (PARTITION BY safe ORDER BY ord, id) END AS key FROM u), m AS (SELECT src, dst, type, count(*) AS c FROM f GROUP BY ALL) """
@@ -183,43 +134,79 @@ _SHAPE = """CASE type WHEN 'method' THEN '[["' || name || '"]]' WHEN 'constructo
 _DRAWN = """CASE m.type WHEN 'async' THEN '-.->' WHEN 'callback' THEN '---' WHEN 'constructor' THEN '==>' ELSE '-->' END || CASE WHEN c > 1 THEN '|' || c || 'x|' WHEN m.type = 'async' THEN '|await|' WHEN m.type = 'callback' THEN '|callback|' ELSE '' END"""
 
 
-@query("snk3_json_simple_whole", WHOLE + """SELECT 'nodes' AS section, '{"id":"' || id || '","name":"' || name || '"}' AS line FROM k UNION ALL SELECT 'edges', '{"source":"' || src || '","target":"' || dst || '"}' FROM f""")
-def json_simple_whole(spark, d):
+@query("snk3_json_simple", WHOLE + """SELECT 'nodes' AS section, '{"id":"' || id || '","name":"' || name || '"}' AS line FROM k UNION ALL SELECT 'edges', '{"source":"' || src || '","target":"' || dst || '"}' FROM f""")
+def json_simple(spark, d):
     return lines.json_lines(tables.entity_graph(spark, d), "simple").select("section", "line")
 
 
-@query("snk3_json_compact_whole", WHOLE + f""", i AS (SELECT id, row_number() OVER (ORDER BY ord, id) - 1 AS i FROM k) SELECT 'nodes' AS section, '["' || id || '","' || name || '","' || type || '"]' AS line FROM k UNION ALL SELECT 'edges', '[' || coalesce(s.i::VARCHAR, 'null') || ',' || coalesce(t.i::VARCHAR, 'null') || ',"' || f.type || '"]' {_ENDS.replace(" k ", " i ")}""")
-def json_compact_whole(spark, d):
+@query("snk3_json_compact", WHOLE + f""", i AS (SELECT id, row_number() OVER (ORDER BY ord, id) - 1 AS i FROM k) SELECT 'nodes' AS section, '["' || id || '","' || name || '","' || type || '"]' AS line FROM k UNION ALL SELECT 'edges', '[' || coalesce(s.i::VARCHAR, 'null') || ',' || coalesce(t.i::VARCHAR, 'null') || ',"' || f.type || '"]' {_ENDS.replace(" k ", " i ")}""")
+def json_compact(spark, d):
     return lines.json_lines(tables.entity_graph(spark, d), "compact").select("section", "line")
 
 
-@query("snk5_yaml_lines_whole", WHOLE + f"""SELECT 'functions' AS section, '  - {{name: "' || name || '", file: "' || file_path || '", line: ' || line || ', type: ' || type || ', async: ' || is_async || '}}' AS line FROM k UNION ALL SELECT 'calls', '  - {{from: "' || coalesce(s.name, 'unknown') || '", to: "' || coalesce(t.name, 'unknown') || '", type: ' || f.type || '}}' {_ENDS}""")
-def yaml_lines_whole(spark, d):
+@query("snk5_yaml_lines", WHOLE + f"""SELECT 'functions' AS section, '  - {{name: "' || name || '", file: "' || file_path || '", line: ' || line || ', type: ' || type || ', async: ' || is_async || '}}' AS line FROM k UNION ALL SELECT 'calls', '  - {{from: "' || coalesce(s.name, 'unknown') || '", to: "' || coalesce(t.name, 'unknown') || '", type: ' || f.type || '}}' {_ENDS}""")
+def yaml_lines(spark, d):
     return lines.yaml_lines(tables.entity_graph(spark, d)).select("section", "line")
 
 
-@query("snk9_mermaid_lines_whole", WHOLE + _KEYED + f"""SELECT 'nodes' AS section, '  ' || key || {_SHAPE} AS line FROM v UNION ALL SELECT 'edges', '  ' || s.key || ' ' || {_DRAWN} || ' ' || t.key FROM m JOIN v s ON s.id = src JOIN v t ON t.id = dst""")
-def mermaid_lines_whole(spark, d):
+@query("snk9_mermaid_lines", WHOLE + _KEYED + f"""SELECT 'nodes' AS section, '  ' || key || {_SHAPE} AS line FROM v UNION ALL SELECT 'edges', '  ' || s.key || ' ' || {_DRAWN} || ' ' || t.key FROM m JOIN v s ON s.id = src JOIN v t ON t.id = dst""")
+def mermaid_lines(spark, d):
     return lines.mermaid_lines(tables.entity_graph(spark, d)).select("section", "line")
 
 
-@query("snk10_mermaid_clusters_whole", WHOLE + "SELECT 'nodes:' || file_path AS section, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT src, dst, type FROM f WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k))")
-def mermaid_clusters_whole(spark, d):
+@query("snk10_mermaid_clusters", WHOLE + "SELECT 'nodes:' || file_path AS section, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT src, dst, type FROM f WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k))")
+def mermaid_clusters(spark, d):
     return lines.mermaid_lines(tables.entity_graph(spark, d), clusters=True).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query("snk14_dot_lines_whole", WHOLE + """SELECT 'nodes' AS section, '  "' || id || '" [label="' || name || '", shape=' || CASE type WHEN 'method' THEN 'ellipse' WHEN 'constructor' THEN 'diamond' WHEN 'arrow' THEN 'oval' ELSE 'box' END || ', tooltip="' || split_part(file_path, '/', 3) || ':' || line || '"' || CASE WHEN is_async THEN ', style=filled' ELSE '' END || '];' AS line FROM k UNION ALL SELECT 'edges', '  "' || src || '" -> "' || dst || '" [style=' || CASE type WHEN 'async' THEN 'dashed' WHEN 'callback' THEN 'dotted' WHEN 'constructor' THEN 'bold' ELSE 'solid' END || '];' FROM f""")
-def dot_lines_whole(spark, d):
+@query("snk14_dot_lines", WHOLE + """SELECT 'nodes' AS section, '  "' || id || '" [label="' || name || '", shape=' || CASE type WHEN 'method' THEN 'ellipse' WHEN 'constructor' THEN 'diamond' WHEN 'arrow' THEN 'oval' ELSE 'box' END || ', tooltip="' || split_part(file_path, '/', 3) || ':' || line || '"' || CASE WHEN is_async THEN ', style=filled' ELSE '' END || '];' AS line FROM k UNION ALL SELECT 'edges', '  "' || src || '" -> "' || dst || '" [style=' || CASE type WHEN 'async' THEN 'dashed' WHEN 'callback' THEN 'dotted' WHEN 'constructor' THEN 'bold' ELSE 'solid' END || '];' FROM f""")
+def dot_lines(spark, d):
     return lines.dot_lines(tables.entity_graph(spark, d)).select("section", "line")
 
 
-@query("snk17_saved_lines_whole", WHOLE + "SELECT 'nodes' AS section, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM f")
-def saved_whole(spark, d):
+@query("snk17_saved_lines", WHOLE + "SELECT 'nodes' AS section, count(*) AS n FROM k UNION ALL SELECT 'edges', count(*) FROM f")
+def saved(spark, d):
     path = f"{folder(spark)}/saved-{uuid.uuid4().hex}"
     lines.save(tables.entity_graph(spark, d), path, "dot")
     return spark.read.text(path).groupBy("section").agg(F.count("*").alias("n"))
 
 
+def _bundle(spark, d):
+    g = tables.entity_graph(spark, d)
+    loops = traverse.self_loops(g.edges).groupBy("graph_id").agg(F.count("*").alias("n"))
+    return metrics.bundle(g.nodes, g.edges, loops)
+
+
+# as in agg15, the entity graph is one component
+_BUNDLE = WHOLE + """, h AS (SELECT dst AS id, count(*) AS n FROM f GROUP BY dst ORDER BY n DESC, id LIMIT 10),
+b AS (SELECT (SELECT count(*) FROM k) AS functions, (SELECT count(*) FROM f) AS calls, (SELECT count(DISTINCT file_path) FROM k) AS files,
+  greatest(1, (SELECT count(*) FROM f) - (SELECT count(*) FROM k) + 2) AS cyclomatic,
+  2 * (SELECT count(DISTINCT src) FROM f WHERE src = dst) + floor((SELECT count(*) FROM (SELECT DISTINCT src, dst FROM f)) / (SELECT count(*) FROM k))::BIGINT AS cognitive) """
+_NUMBERS = ("functions", "calls", "files", "cyclomatic", "cognitive")
+
+
+@query("agg17_metrics_bundle", _BUNDLE + "SELECT *, (SELECT string_agg(id || '=' || n, ',' ORDER BY n DESC, id) FROM h) AS hotspots FROM b")
+def metrics_bundle(spark, d):
+    b = _bundle(spark, d)
+    return b.select("functions", "calls", "files", "cyclomatic", "cognitive", F.array_join(F.transform("hotspots", lambda h: F.concat_ws("=", h["id"], h["n"].cast("string"))), ",").alias("hotspots"))
+
+
+_JSON = ",".join(f"""\"{n}\":' || {n} || '""" for n in _NUMBERS)
+
+
+@query("snk2_json_statistics", _BUNDLE + f"""SELECT 'statistics' AS section, '"statistics":{{{_JSON},"hotspots":[' || (SELECT string_agg('{{"id":"' || id || '","n":' || n || '}}', ',' ORDER BY n DESC, id) FROM h) || ']}}' AS line FROM b""")
+def json_statistics(spark, d):
+    return lines.statistics_lines(_bundle(spark, d), "json").select("section", "line")
+
+
+_YAML = " UNION ALL ".join(f"SELECT {i + 1}, '  {n}: ' || {n} FROM b" for i, n in enumerate(_NUMBERS))
+
+
+@query("snk21_yaml_statistics", _BUNDLE + f"""SELECT 0::INT AS line_no, 'statistics:' AS line UNION ALL {_YAML} UNION ALL SELECT 6, '  hotspots:' UNION ALL SELECT (6 + row_number() OVER (ORDER BY n DESC, id))::INT, '    - {{id: "' || id || '", calls: ' || n || '}}' FROM h""")
+def yaml_statistics(spark, d):
+    return lines.statistics_lines(_bundle(spark, d), "yaml").select("line_no", "line")
+
+
 # --- caches and streams -----------------------------------------------------------------------------
 
 

@@ -215,3 +215,17 @@ def problems(text: str, fmt: str) -> list[str]:
     bare = re.sub(r'"(?:\\.|[^"\\])*"', "", text)
     found = [] if re.match(r"\s*(?:strict\s+)?(?:di)?graph\b", bare) else ["no graph"]
     return found + (["unbalanced braces"] if bare.count("{") != bare.count("}") else []) + (["open quote"] if '"' in bare else [])
+
+
+def statistics_lines(bundle: DataFrame, style: str = "json") -> DataFrame:
+    """(graph_id, section, line_no, line): the statistics part of a JSON or YAML document, out of ``metrics.bundle``."""
+    numbers = ("functions", "calls", "files", "cyclomatic", "cognitive")
+    if style == "json":
+        parts = F.struct(*numbers, "hotspots")
+        return bundle.select("graph_id", F.lit("statistics").alias("section"), F.lit(0).alias("line_no"), F.concat(F.lit('"statistics":'), F.to_json(parts)).alias("line"))
+    if style != "yaml":
+        raise ValueError(f"unknown style {style}")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    spots = F.transform("hotspots", lambda h: F.concat(F.lit("    - {id: "), quoted(h["id"]), F.lit(", calls: "), h["n"].cast("string"), F.lit("}")))
+    head = F.array(F.lit("statistics:"), *(F.concat(F.lit(f"  {n}: "), F.col(n).cast("string")) for n in numbers), F.when(F.size("hotspots") == 0, F.lit("  hotspots: []")).otherwise(F.lit("  hotspots:")))
+    return bundle.select("graph_id", F.lit("statistics").alias("section"), F.posexplode(F.concat(head, spots)).alias("line_no", "line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import defaultdict
 
@@ -9,7 +10,9 @@ import pytest
 
 from edgeframe.functions import columns as C
 from edgeframe.model import AnalysisError, AnalysisOptions, CallGraph
-from edgeframe.operators import build, circular, filters, metrics, traverse, validate
+from edgeframe.operators import build, circular, filters, metrics, resolve, traverse, validate
+from edgeframe.sinks import lines
+from edgeframe.sources import typescript
 
 
 def graph(spark, pairs, graph_id="g", **node_values):
@@ -50,6 +53,8 @@ def test_diamond(spark, diamond):
 def test_traversal_orders_and_bounds(spark):
     g = graph(spark, [("A", "B"), ("B", "C"), ("A", "D")])
     assert [r.id for r in traverse.dfs_order(g.edges, start(spark, "A")).orderBy("dfs_ord").collect()] == ["A", "B", "C", "D"]
+    several = start(spark, "B").unionByName(start(spark, "A")).unionByName(start(spark, "Z")).unionByName(start(spark, "alone", "h"))
+    assert rows(traverse.dfs_order(g.edges, several), "graph_id", "id", "dfs_ord", "depth") == {("g", "A", 0, 0), ("g", "B", 1, 1), ("g", "C", 2, 2), ("g", "D", 3, 1), ("g", "Z", 4, 0), ("h", "alone", 0, 0)}
     assert rows(traverse.bfs(g.edges, start(spark, "A"), 1), "id") == {"A", "B", "D"}
     reached, edges = traverse.bounded_expansion(g.edges, start(spark, "A"), 2)
     assert rows(reached, "id") == {"A", "B", "D"} and edges.count() == 3  # the edge to C dangles
@@ -167,3 +172,22 @@ def test_validation(spark):
     assert rows(validate.difference(g, basic), "kind", "item") == {("found", "main"), ("additional", "s.ts#processData"), ("additional", "s.ts#validateInput")}
     assert validate.limits(g, validate.Specification("main", max_depth=1, max_complexity=0), traverse.max_depth(g.nodes, g.edges)).count() == 2
     assert validate.limits(g, validate.Specification("main"), traverse.max_depth(g.nodes, g.edges)).count() == 0
+
+
+def test_metrics_bundle(spark):
+    g = graph(spark, [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E"), ("E", "E")])
+    out = metrics.bundle(g.nodes, g.edges, spark.createDataFrame([("g", 1)], "graph_id string, n long"), top=2)
+    row = out.first()
+    assert (row.functions, row.calls, row.cyclomatic, row.cognitive) == (5, 6, 3, 3)
+    assert [(h.id, h.n) for h in row.hotspots] == [("D", 2), ("E", 2)]
+    line = lines.statistics_lines(out, "json").first().line
+    assert json.loads("{" + line + "}")["statistics"]["hotspots"] == [{"id": "D", "n": 2}, {"id": "E", "n": 2}]
+    text = [r.line for r in lines.statistics_lines(out, "yaml").orderBy("line_no").collect()]
+    assert text[:2] == ["statistics:", "  functions: 5"] and text[-1] == '    - {id: "E", calls: 2}'
+
+
+def test_long_re_exports(spark):
+    """A name passed on by more files than any fixed number of rounds."""
+    files = [("f0.ts", "export function deep() { return 1; }\n")] + [(f"f{k}.ts", f"export {{ deep }} from './f{k - 1}';\n") for k in range(1, 14)]
+    facts = typescript.extract(spark.createDataFrame(files, "path string, content string"))
+    assert resolve.exported_symbols(facts).filter("path = 'f13.ts'").select("def_path", "def_name").collect() == [("f0.ts", "deep")]
