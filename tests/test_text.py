@@ -158,8 +158,8 @@ def test_writers_see_the_whole_graph(spark, name):
     base, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("region", "nation", "customer", "orders", "part", "supplier", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
-    found = catalog.QUERIES[f"{name}_whole"](spark, base)
-    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.SQL[f'{name}_whole']})").fetchall()
+    found = catalog.QUERIES[name](spark, base)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.SQL[name]})").fetchall()
     assert Counter(map(tuple, found.collect())) == Counter(want)
     calls = con.execute("SELECT count(*) FROM orders").fetchone()[0]
     assert sum(r[-1] if isinstance(r[-1], int) else 1 for r in want) > calls
