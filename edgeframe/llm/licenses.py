@@ -2,14 +2,16 @@
 
 A unit is a line, a paragraph (between blank lines) or the whole text.  It is
 compared only with templates whose size allows the threshold: with ``a`` and
-``b`` bigrams, ``2 min(a, b) / (a + b)`` bounds the coefficient.  Everything is
-an expression over one document's row, so there is no shuffle at all and no
-group can be hot.  DataFrame operations only.
+``b`` bigrams, ``2 min(a, b) / (a + b)`` bounds the coefficient.  Bigrams count
+as often as they occur, on both sides, so a template has 1 against itself.
+Everything is an expression over one document's row, so there is no shuffle at
+all and no group can be hot.  DataFrame operations only.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,41 @@ TEMPLATES = (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
 )
 
 
@@ -75,15 +112,15 @@ def _bounds(size: int, dice: float) -> tuple[int, int]:
     return -int(-size * dice / (2 - dice) // 1), int(size * (2 - dice) / dice)
 
 
-def _templates(dice: float) -> list[tuple[str, int, int, int, list[str]]]:
-    """License, size, least and greatest unit, distinct bigrams."""
-    return [(name, len(b), *_bounds(len(b), dice), sorted(set(b))) for name, text in TEMPLATES for b in (bigrams(text),)]
+def _templates(dice: float) -> list[tuple[str, int, int, int, list[str], dict[str, int]]]:
+    """License, size, least and greatest unit, distinct bigrams, and how often more than once the others occur."""
+    return [(name, len(b), *_bounds(len(b), dice), sorted(set(b)), {x: n - 1 for x, n in sorted(Counter(b).items()) if n > 1}) for name, text in TEMPLATES for b in (bigrams(text),)]
 
 
 def _merged(known: list[tuple]) -> list[tuple[int, int]]:
     """The sizes that fit any template, as few ranges."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((max(lo, 1), hi) for _, _, lo, hi, _ in known):
+    for lo, hi in sorted((max(lo, 1), hi) for _, _, lo, hi, *_ in known):
         if out and lo <= out[-1][1] + 1:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -96,15 +133,22 @@ def scan_licenses(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", t
 
     ``matches`` has (license, dice) of every unit that matches, best template
     first decided by coefficient, then by name; equal units count once.  The
-    coefficient is 2 x common distinct bigrams / (all bigrams of the unit and
-    of the template).
+    coefficient is 2 x common bigrams / (bigrams of the unit and of the
+    template), each bigram as often as it occurs; a template has 1 against itself.
 
     Null and empty texts match nothing; a null id is kept; repeated rows come
     back as often as they occur; other columns are not read.  An empty table
     gives an empty result.
     """
     known = _templates(dice)
-    table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(s).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, b)).alias("bigrams")) for n, s, lo, hi, b in known))
+
+    def template(name: str, size: int, lo: int, hi: int, distinct: list[str], more: dict[str, int]) -> Column:
+        repeated = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")) for b, n in more.items())).cast("array<struct<b:string,n:int>>")
+        return F.struct(
+            F.lit(name).alias("name"), F.lit(size).alias("size"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.array(*map(F.lit, distinct)).alias("bigrams"), repeated.alias("repeated"), F.lit(sum(more.values())).alias("more")
+        )
+
+    table = F.array(*(template(*t) for t in known))
     # letters and digits, single spaces between words, none at the ends of lines
     plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     plain = F.trim(F.regexp_replace(plain, r" ?\n ?", "\n"))
@@ -128,8 +172,14 @@ def scan_licenses(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", t
 
     def best(u: Column) -> Column:
         near = F.filter("table", lambda t: u["n"].between(t["lo"], t["hi"]))
-        scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(u["b"], t["bigrams"])) / (u["n"] + t["size"])).alias("score"), t["name"].alias("name")))
-        return F.array_min(scored)
+        once = F.transform(near, lambda t: F.struct(t.alias("t"), F.size(F.array_intersect(u["b"], t["bigrams"])).alias("common")))
+        # repeated bigrams are counted only where they could make a match
+        close = F.filter(once, lambda c: 2.0 * (c["common"] + c["t"]["more"]) >= dice * (u["n"] + c["t"]["size"]))
+
+        def again(c: Column) -> Column:
+            return F.aggregate(c["t"]["repeated"], F.lit(0), lambda total, r: total + F.greatest(F.lit(0), F.least(r["n"], F.size(F.filter(u["b"], lambda x: x == r["b"])) - 1)))
+
+        return F.array_min(F.transform(close, lambda c: F.struct((-2.0 * (c["common"] + again(c)) / (u["n"] + c["t"]["size"])).alias("score"), c["t"]["name"].alias("name"))))
 
     hits = F.filter(F.transform("sized", best), lambda m: m["score"] <= -dice)
     rows = docs.select(F.col(id_col).alias("doc"), plain.alias("plain")).withColumn("units", units).withColumn("counted", counted).withColumn("table", table).withColumn("sized", sized)
@@ -146,14 +196,19 @@ def op6(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same in DuckDB SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(n)}, {s}, {lo}, {hi}, [{', '.join(map(quoted, b))}])" for n, s, lo, hi, b in _templates(DICE))
+    known = ", ".join(f"({k}, {quoted(n)}, {s}, {lo}, {hi})" for k, (n, s, lo, hi, *_) in enumerate(_templates(DICE)))
+    grams = ", ".join(f"({k}, {quoted(b)}, {1 + more.get(b, 0)})" for k, (*_, distinct, more) in enumerate(_templates(DICE)) for b in distinct)
     return rf"""
-WITH t(name, size, lo, hi, b) AS MATERIALIZED (VALUES {known}),
+WITH t(k, name, size, lo, hi) AS MATERIALIZED (VALUES {known}),
+g(k, b, n) AS MATERIALIZED (VALUES {grams}),
 d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM documents),
 u AS (SELECT DISTINCT rid, trim(regexp_replace(replace(x, chr(10), ' '), ' +', ' ', 'g')) AS x FROM (SELECT rid, unnest(list_concat(string_split(p, chr(10)), string_split_regex(p, '\n *\n'), [p])) AS x FROM d)),
 w AS (SELECT rid, x, string_split(x, ' ') AS w FROM u WHERE x <> ''),
-c AS (SELECT rid, x, t.name, 2.0 * len(list_intersect(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), t.b)) / (len(w) - 1 + t.size) AS dice FROM w JOIN t ON len(w) - 1 BETWEEN greatest(t.lo, 1) AND t.hi),
-m AS (SELECT rid, x, arg_min(name, (-dice, name)) AS name, max(dice) AS dice FROM c GROUP BY rid, x HAVING max(dice) >= {DICE}),
+v AS MATERIALIZED (SELECT row_number() OVER () AS uid, rid, w FROM w WHERE len(w) - 1 BETWEEN (SELECT greatest(min(lo), 1) FROM t) AND (SELECT max(hi) FROM t)),
+p AS (SELECT uid, b, count(*) AS n FROM (SELECT uid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM v) GROUP BY uid, b),
+q AS (SELECT uid, k, sum(least(p.n, g.n)) AS common FROM p JOIN g USING (b) GROUP BY uid, k),
+c AS (SELECT uid, rid, name, 2.0 * common / (len(w) - 1 + size) AS dice FROM q JOIN v USING (uid) JOIN t USING (k) WHERE len(w) - 1 BETWEEN lo AND hi),
+m AS (SELECT rid, uid, arg_min(name, (-dice, name)) AS name, max(dice) AS dice FROM c GROUP BY rid, uid HAVING max(dice) >= {DICE}),
 o AS (SELECT rid, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best_dice FROM m GROUP BY rid)
 SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, round(coalesce(best_dice, 0)::DOUBLE, 6) AS best_dice FROM d LEFT JOIN o USING (rid)
 """

@@ -196,6 +196,8 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
     even.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == even
     assert sum(r.bytes for r in sharding.slot_bytes(docs).collect()) == sum(r["size"] for r in out)
+    assert Counter({r.virtual_slot: r.slot_bytes for r in out}) == Counter({r.virtual_slot: r.bytes for r in sharding.slot_bytes(docs).collect()})
+    assert grown.at(1) == first and sharding.SlotMap.load(spark, str(tmp_path / "map")).at(1) == first
     assert sharding.assign_shards(empty, first).count() == 0
 
 
@@ -551,7 +553,7 @@ def test_licenses(spark, rows, empty):
         for u in units(t):
             own = u.split()
             own = [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
-            scored = [(-2 * len(set(own) & set(b)) / (len(own) + len(b)), n) for n, b in templates if own]
+            scored = [(-2 * (Counter(own) & Counter(b)).total() / (len(own) + len(b)), n) for n, b in templates if own]
             if scored and min(scored)[0] <= -licenses.DICE:
                 hits.append((min(scored)[1], round(-min(scored)[0], 9)))
         want.append((i // 2, sorted(hits)))
@@ -560,3 +562,19 @@ def test_licenses(spark, rows, empty):
     assert sorted(map(repr, want)) == sorted(map(repr, out))
     assert sum(bool(h) for _, h in out) == 5
     assert licenses.scan_licenses(empty).count() == 0
+    # every template is itself, wholly
+    own = spark.createDataFrame([(i if i else None, t, "e", "k", "n") for i, (_, t) in enumerate(licenses.TEMPLATES)], SCHEMA)
+    out = {r.doc_id: r.matches for r in licenses.scan_licenses(own).collect()}
+    assert all((n, 1.0) in [(m.license, m.dice) for m in out[i if i else None]] for i, (n, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_sql_of_native_operators(spark, rows, tmp_path):
+    import duckdb
+
+    texts = [t for _, t, *_ in rows] + [t for _, t in licenses.TEMPLATES] + ["\n\n".join(t for _, t in licenses.TEMPLATES), "of the of the of the\nReleased under the MIT License."]
+    spark.createDataFrame([(i // 2 if i % 7 else None, t, "e", "k", "n") for i, t in enumerate(texts)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for query, sql in ((sharding.op4, sharding.OP4_SQL), (licenses.op6, licenses.OP6_SQL)):
+        out, want = query(spark, str(tmp_path)), duckdb.sql(sql)
+        assert sorted(out.columns) == sorted(want.columns)
+        assert Counter(map(tuple, out.select(*want.columns).collect())) == Counter(want.fetchall())
