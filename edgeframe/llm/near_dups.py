@@ -122,7 +122,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # repeated rows change no minimum and go with the last step
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, edges = edges, stored(small.unionByName(down.withColumnRenamed("m", "b")).distinct(), name)
@@ -148,11 +149,11 @@ def _full_sets(texts: DataFrame, heads: DataFrame, wanted: DataFrame, width: int
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The ``pairs`` (a, b, ...) whose full sets are similar enough."""
     side = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"s_{x}"))
     # sets have no repeated hashes, so the common ones tell the union's size
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("s_a") + F.size("s_b")).alias("both"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
-    return stored(joined.filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"), name)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, (F.size("s_a") + F.size("s_b")).alias("both"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+    return stored(joined.filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select(*pairs.columns), name)
 
 
 def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
@@ -205,19 +206,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     open_keys = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     unsettled = stored(classed.join(open_keys, "key").select("digest", "class").distinct(), "op8-unsettled")
     dropped(hits, full)
-    found = components(links.unionByName(_prefix_links(unsettled, texts, heads, width, percent)), "op8-stars")
-
-    # the smallest id of each class of several sets, then of each set
-    classes = heads.select("digest", "doc").join(found.withColumnRenamed("node", "digest"), "digest")
-    smallest = classes.groupBy("root").agg(F.min("doc").alias("least"))
-    component = heads.select("digest", F.col("doc").alias("own")).join(classes.join(smallest, "root").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "own").alias("component"))
+    # late links join whole classes, so only classes go through the stars again
+    merged = components(_prefix_links(unsettled, texts, heads, width, percent), "op8-late-stars").select(F.col("node").alias("class"), F.col("root").alias("late"))
+    classes = heads.select("digest", "doc").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc", label)
+    classes = classes.join(merged, "class", "left").select("digest", "doc", F.coalesce("late", "class").alias("class"))
+    smallest = classes.groupBy("class").agg(F.min("doc").alias("component"))
+    component = classes.join(smallest, "class").select("digest", "component")
     members = sketches.join(component, "digest", "left")
     component_id = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc") == component_id, F.lit(True)).alias("kept"))
 
 
 def _prefix_links(unsettled: DataFrame, texts: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between the classes of ``unsettled`` (digest, class), by rarest-first prefixes."""
+    """Links (a, b) between classes of ``unsettled`` (digest, class), by rarest-first prefixes."""
     full = _full_sets(texts, heads, unsettled.select("digest"), width, "op8-late-sets")
     shingles = full.join(unsettled, "digest").select(F.col("digest").alias("doc"), "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     # a shingle of one class cannot link two
@@ -232,8 +233,8 @@ def _prefix_links(unsettled: DataFrame, texts: DataFrame, heads: DataFrame, widt
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent))
     early = (F.col("rank_a") <= F.col("n_a") - need + 1) & (F.col("rank_b") <= F.col("n_b") - need + 1)
     near = F.expr(f"class_a <> class_b and (n_a < n_b or (n_a = n_b and a < b)) and 100 * n_a >= {percent} * n_b")
-    pairs = stored(side(prefix.filter("indexed"), "a").join(side(prefix, "b"), "shingle").filter(near & early).select("a", "b").distinct(), "op8-late-pairs")
-    links = _confirmed(pairs, full, percent, "op8-late-links")
+    pairs = stored(side(prefix.filter("indexed"), "a").join(side(prefix, "b"), "shingle").filter(near & early).select("a", "b", "class_a", "class_b").distinct(), "op8-late-pairs")
+    links = _confirmed(pairs, full, percent, "op8-late-links").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     dropped(prefix, full, pairs)
     return links
 
