@@ -6,6 +6,7 @@ are then equi-joins on (src, dst), never pattern against pattern.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from edgeframe.functions.columns import wildcard_regex
 from edgeframe.model import CallGraph
+from edgeframe.scratch import written
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,15 @@ class Specification:
 
     def patterns(self, spark: SparkSession) -> DataFrame:
         """(pattern, regex, literal) of every pattern; as many rows as the file has rules."""
-        found = {p for a, b, _ in (*self.required_edges, *self.forbidden_edges) for p in (a, b)} | {*self.required_nodes, *self.forbidden_nodes} | ({self.entry_point} - {""})
-        return spark.createDataFrame([(p, wildcard_regex(p), "*" not in p) for p in sorted(found)], "pattern string, regex string, literal boolean")
+        return spark.createDataFrame([(p, wildcard_regex(p), "*" not in p) for p in self._distinct()], "pattern string, regex string, literal boolean")
+
+    def wildcards(self) -> list[str]:
+        """The distinct patterns with wildcards."""
+        return [p for p in self._distinct() if "*" in p]
+
+    def _distinct(self) -> list[str]:
+        found = {p for a, b, _ in (*self.required_edges, *self.forbidden_edges) for p in (a, b)} | {*self.required_nodes, *self.forbidden_nodes}
+        return sorted(found | ({self.entry_point} - {""}))
 
     def edge_rules(self, spark: SparkSession, kind: str) -> DataFrame:
         rules = self.required_edges if kind == "required" else self.forbidden_edges
@@ -51,22 +60,32 @@ class Specification:
 def pattern_matches(nodes: DataFrame, spec: Specification) -> DataFrame:
     """(graph_id, pattern, id, ord) for every node a pattern names.
 
-    Literal patterns are equi-joins; only those with wildcards are compared
-    with every node, in a broadcast join over the specification's rules.
+    Literal patterns are an equi-join over the specification's rules; those
+    with wildcards are expressions on the node's row, with no join at all.
     """
     patterns = spec.patterns(nodes.sparkSession)
     qualified = F.concat_ws(".", "class_name", "name")
     keys = nodes.select("graph_id", "id", "ord", F.explode(F.array_distinct(F.filter(F.array("name", "id", "class_name", qualified), lambda c: c.isNotNull()))).alias("key"))
-    exact = keys.join(F.broadcast(patterns.filter("literal")), F.col("key") == F.col("pattern"))
-    wild = keys.join(F.broadcast(patterns.filter("not literal")), F.expr("key rlike regex"))
-    return exact.unionByName(wild).select("graph_id", "pattern", "id", "ord").distinct()
+    found = keys.join(F.broadcast(patterns.filter("literal")), F.col("key") == F.col("pattern")).select("graph_id", "pattern", "id", "ord")
+    wild = [F.when(F.col("key").rlike(wildcard_regex(p)), F.lit(p)) for p in spec.wildcards()]
+    if wild:
+        found = found.unionByName(keys.select("graph_id", F.explode(F.array_compact(F.array(*wild))).alias("pattern"), "id", "ord"))
+    return found.distinct()
+
 
+def _with_rules(graphs: DataFrame, rules: list[dict], fields: str) -> DataFrame:
+    """Each row of ``graphs`` with each rule of the specification, as a literal list, so nothing is joined."""
+    return graphs.select("*", F.inline(F.from_json(F.lit(json.dumps(rules)), f"array<struct<{fields}>>")))
 
-def required_edges(graph: CallGraph, spec: Specification) -> DataFrame:
-    """(graph_id, rule_ord, status): found, missing_source, missing_target or missing_edge."""
+
+def required_edges(graph: CallGraph, spec: Specification, hits: DataFrame | None = None) -> DataFrame:
+    """(graph_id, rule_ord, status): found, missing_source, missing_target or missing_edge.
+
+    ``hits`` is a table of :func:`pattern_matches`, if at hand, here and below.
+    """
     spark = graph.nodes.sparkSession
-    hits, ids = pattern_matches(graph.nodes, spec), graph.nodes.select("graph_id").distinct()
-    rules = ids.join(F.broadcast(spec.edge_rules(spark, "required")))
+    hits, ids = (pattern_matches(graph.nodes, spec) if hits is None else hits), graph.nodes.select("graph_id").distinct()
+    rules = _with_rules(ids, [{"rule_ord": i, "from": a, "to": b} for i, (a, b, _) in enumerate(spec.required_edges)], "rule_ord: int, `from`: string, `to`: string")
     has = hits.select("graph_id", "pattern").distinct()
     has = lambda side, h=has: h.select("graph_id", F.col("pattern").alias(side), F.lit(True).alias(f"has_{side}"))
     found = _rule_edges(graph, hits, spec.edge_rules(spark, "required")).select("graph_id", "rule_ord", F.lit(True).alias("hit")).distinct()
@@ -83,20 +102,20 @@ def _rule_edges(graph: CallGraph, hits: DataFrame, rules: DataFrame) -> DataFram
     return starts.join(sides[1], ["graph_id", "dst", "to"]).filter(F.col("type").isNull() | (F.col("type") == F.col("edge_type"))).select("graph_id", "rule_ord", "src", "dst", "edge_type")
 
 
-def forbidden_edges(graph: CallGraph, spec: Specification) -> DataFrame:
+def forbidden_edges(graph: CallGraph, spec: Specification, hits: DataFrame | None = None) -> DataFrame:
     """One row for every edge a rule forbids."""
-    return _rule_edges(graph, pattern_matches(graph.nodes, spec), spec.edge_rules(graph.nodes.sparkSession, "forbidden"))
+    return _rule_edges(graph, pattern_matches(graph.nodes, spec) if hits is None else hits, spec.edge_rules(graph.nodes.sparkSession, "forbidden"))
 
 
-def required_nodes(graph: CallGraph, spec: Specification) -> DataFrame:
+def required_nodes(graph: CallGraph, spec: Specification, hits: DataFrame | None = None) -> DataFrame:
     """(graph_id, pattern) that no node matches."""
-    rules = graph.nodes.select("graph_id").distinct().join(F.broadcast(spec.node_rules(graph.nodes.sparkSession, "required")))
-    return rules.join(pattern_matches(graph.nodes, spec), ["graph_id", "pattern"], "left_anti").select("graph_id", "rule_ord", "pattern")
+    rules = _with_rules(graph.nodes.select("graph_id").distinct(), [{"rule_ord": i, "pattern": p} for i, p in enumerate(spec.required_nodes)], "rule_ord: int, pattern: string")
+    return rules.join(pattern_matches(graph.nodes, spec) if hits is None else hits, ["graph_id", "pattern"], "left_anti").select("graph_id", "rule_ord", "pattern")
 
 
-def forbidden_nodes(graph: CallGraph, spec: Specification) -> DataFrame:
+def forbidden_nodes(graph: CallGraph, spec: Specification, hits: DataFrame | None = None) -> DataFrame:
     """(graph_id, pattern, id) of nodes that a rule forbids."""
-    return pattern_matches(graph.nodes, spec).join(F.broadcast(spec.node_rules(graph.nodes.sparkSession, "forbidden")), "pattern").select("graph_id", "rule_ord", "pattern", "id")
+    return (pattern_matches(graph.nodes, spec) if hits is None else hits).join(F.broadcast(spec.node_rules(graph.nodes.sparkSession, "forbidden")), "pattern").select("graph_id", "rule_ord", "pattern", "id")
 
 
 def entry_point(graph: CallGraph, entry: DataFrame, spec: Specification) -> DataFrame:
@@ -121,16 +140,17 @@ def limits(graph: CallGraph, spec: Specification, depths: DataFrame) -> DataFram
     return reduce(DataFrame.unionByName, parts).filter("actual > allowed")
 
 
-def violations(graph: CallGraph, spec: Specification, entry: DataFrame | None = None) -> DataFrame:
-    """(graph_id, phase, rule_ord, kind, message), all errors."""
+def violations(graph: CallGraph, spec: Specification, entry: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """(graph_id, phase, rule_ord, kind, message), all errors; patterns are matched once."""
+    hits = written(pattern_matches(graph.nodes, spec), "hits") if hits is None else hits
     rows = lambda df, phase, kind, message, rule="rule_ord": df.select("graph_id", F.lit(phase).alias("phase"), F.col(rule).cast("int").alias("rule_ord"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), message.alias("message"))
-    required = required_edges(graph, spec).filter("status <> 'found'")
+    required = required_edges(graph, spec, hits).filter("status <> 'found'")
     edge_kind = F.when(F.col("status") == "missing_edge", "missing_edge").otherwise("missing_node")
     out = [
         rows(required, 2, edge_kind, F.col("status")),
-        rows(forbidden_edges(graph, spec), 3, "forbidden_edge", F.concat_ws(" -> ", "src", "dst")),
-        rows(required_nodes(graph, spec), 4, "missing_node", F.col("pattern")),
-        rows(forbidden_nodes(graph, spec), 5, "type_mismatch", F.col("id")),
+        rows(forbidden_edges(graph, spec, hits), 3, "forbidden_edge", F.concat_ws(" -> ", "src", "dst")),
+        rows(required_nodes(graph, spec, hits), 4, "missing_node", F.col("pattern")),
+        rows(forbidden_nodes(graph, spec, hits), 5, "type_mismatch", F.col("id")),
     ]
     if entry is not None:
         bad = entry_point(graph, entry, spec).withColumn("rule_ord", F.lit(0))
@@ -140,8 +160,9 @@ def violations(graph: CallGraph, spec: Specification, entry: DataFrame | None =
 
 def summary(graph: CallGraph, spec: Specification, entry: DataFrame | None = None) -> DataFrame:
     """One row a graph: rules found and broken, and whether it is valid (quirk Q15: real hits)."""
-    found = required_edges(graph, spec).groupBy("graph_id").agg(F.count_if(F.col("status") == "found").alias("required_found"), F.count("*").alias("required_total"))
-    bad = violations(graph, spec, entry).groupBy("graph_id").agg(
+    hits = written(pattern_matches(graph.nodes, spec), "hits")
+    found = required_edges(graph, spec, hits).groupBy("graph_id").agg(F.count_if(F.col("status") == "found").alias("required_found"), F.count("*").alias("required_total"))
+    bad = violations(graph, spec, entry, hits).groupBy("graph_id").agg(
         F.count("*").alias("errors"), F.count_if(F.col("kind") == "forbidden_edge").alias("forbidden_found"), F.count_if(F.col("phase") == 4).alias("missing_nodes"), F.count_if(F.col("phase") == 5).alias("unexpected_nodes")
     )
     out = graph.nodes.select("graph_id").distinct().join(found, "graph_id", "left").join(bad, "graph_id", "left").na.fill(0)

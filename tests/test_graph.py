@@ -167,6 +167,10 @@ def test_validation(spark):
     assert rows(validate.violations(worse, SPEC, entry), "kind", "phase") == {("forbidden_edge", 3)}
     assert "failed" in validate.report(worse, SPEC, "g", entry)
     assert rows(validate.entry_point(g, start(spark, "nobody"), SPEC), "kind") == {"missing_node"}
+    assert validate.violations(g, validate.Specification()).count() == 0
+    wide = validate.Specification(forbidden_nodes=("*Input", "s.ts#v*", "main"))
+    assert rows(validate.violations(g, wide), "rule_ord", "message") == {(0, "s.ts#validateInput"), (1, "s.ts#validateInput"), (2, "s.ts#main")}
+    assert "NestedLoop" not in validate.violations(g, SPEC)._jdf.queryExecution().executedPlan().toString()
     basic = validate.Specification.basic("main")
     assert validate.summary(g, basic).first().is_valid
     assert rows(validate.difference(g, basic), "kind", "item") == {("found", "main"), ("additional", "s.ts#processData"), ("additional", "s.ts#validateInput")}
