@@ -7,16 +7,21 @@
    the sets that have it.  In two sets at the threshold, 85 % of the union's
    smallest hashes are common, and the chance that no three neighbours are is
    below 1e-9 for 48 values; smaller sets are kept whole, where a run is
-   certain.  A list is joined to its smallest member only, so its pairs grow
-   with its length, not its square.
+   certain.  A list is joined to its hub only, so its pairs grow with its
+   length, not its square.  The hub is the member whose own lists are longest
+   in all: of a group of edited copies the least edited, which most are near to.
 3. A pair's union sketch estimates its similarity; far misses go.  The sets of
    the others are written once as sorted hashes and confirmed in full by joins,
    so no pair's texts stand side by side.  Links become components.
-4. A list whose members all sit in one component is settled.  The rest is
-   finished by an exact join over the sets in unsettled lists: shingles in
-   order of rarity among them, where linked sets share one in a short prefix.
-   Only pairs across components are tested, and hot shingles come last in that
-   order, so neither a large group nor a frequent passage forms pairs.
+4. A list whose members all sit in one component is settled.  In the others
+   hubs are chosen once more, by whole sets: the set whose shingles are the most
+   frequent ones, as equal sketches hide the edits between their values.
+5. The rest is finished by an exact join over the sets in unsettled lists:
+   shingles in order of rarity among them, where linked sets share one in a
+   short prefix.  Only pairs across components are tested, and hot shingles come
+   last in that order.  A set that is too far from the hub of its group has
+   enough shingles of its own to keep the group's out of its prefix, so neither
+   a large group around one text nor a frequent passage forms pairs.
 
 Nothing about documents is collected on the driver but counts.
 """
@@ -163,6 +168,13 @@ def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
     return 100 * shared >= SLACK * percent * F.size(union)
 
 
+def _likely_pairs(pairs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, ...) that sizes and union sketches allow."""
+    side = lambda x: heads.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & _likely(F.col("s_a"), F.col("s_b"), k, percent)
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(sized).select(*pairs.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -189,13 +201,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - RUN + 1), lambda i: F.xxhash64(F.slice("sketch", i, RUN)))
     keys = heads.filter(F.size("sketch") >= RUN).select("digest", F.explode(runs).alias("key"))
-    lists = keys.groupBy("key").agg(F.min("digest").alias("pivot"), F.max("digest").alias("top"), F.count("*").alias("size")).filter("pivot < top")
-    hits = stored(keys.join(lists.select("key", "pivot", "size"), "key"), "op8-hits")
-
-    estimated = hits.filter("digest > pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
-    side = lambda x: heads.select(F.col("digest").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & _likely(F.col("s_a"), F.col("s_b"), k, percent)
-    likely = stored(estimated.join(side("a"), "a").join(side("b"), "b").filter(sized).select("a", "b"), "op8-pairs")
+    lists = keys.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("top"), F.count("*").alias("size")).filter("low < top")
+    hits = stored(keys.join(lists.select("key", "size"), "key"), "op8-hits")
+
+    # one order over all sets, so a group's lists have one hub
+    ordered = hits.join(hits.groupBy("digest").agg(F.sum("size").alias("weight")), "digest")
+    hubs = ordered.groupBy("key").agg(F.max(F.struct("weight", "digest")).alias("hub")).select("key", F.col("hub.digest").alias("a"))
+    estimated = hits.join(hubs, "key").filter("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+    likely = stored(_likely_pairs(estimated, heads, k, percent), "op8-pairs")
     full = _full_sets(texts, heads, likely.select(F.explode(F.array("a", "b")).alias("digest")), width, "op8-sets")
     links = _confirmed(likely, full, percent, "op8-links").unionByName(same_id)
 
@@ -204,10 +217,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     # a list of two is settled by its one pair
     classed = hits.filter("size > 2").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", label)
     open_keys = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-    unsettled = stored(classed.join(open_keys, "key").select("digest", "class").distinct(), "op8-unsettled")
+    unsettled = stored(classed.join(open_keys, "key").select("key", "digest", "class"), "op8-unsettled")
     dropped(hits, full)
     # late links join whole classes, so only classes go through the stars again
-    merged = components(_prefix_links(unsettled, texts, heads, width, percent), "op8-late-stars").select(F.col("node").alias("class"), F.col("root").alias("late"))
+    merged = components(_late_links(unsettled, texts, heads, width, percent, k), "op8-late-stars").select(F.col("node").alias("class"), F.col("root").alias("late"))
     classes = heads.select("digest", "doc").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc", label)
     classes = classes.join(merged, "class", "left").select("digest", "doc", F.coalesce("late", "class").alias("class"))
     smallest = classes.groupBy("class").agg(F.min("doc").alias("component"))
@@ -217,26 +230,44 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc") == component_id, F.lit(True)).alias("kept"))
 
 
-def _prefix_links(unsettled: DataFrame, texts: DataFrame, heads: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of ``unsettled`` (digest, class), by rarest-first prefixes."""
+def _late_links(lists: DataFrame, texts: DataFrame, heads: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between classes of the unsettled ``lists`` (key, digest, class): by hubs, then by rarest-first prefixes."""
+    unsettled = stored(lists.select("digest", "class").distinct(), "op8-classes")
     full = _full_sets(texts, heads, unsettled.select("digest"), width, "op8-late-sets")
     shingles = full.join(unsettled, "digest").select(F.col("digest").alias("doc"), "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     # a shingle of one class cannot link two
     spread = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    rank = F.row_number().over(W.partitionBy("doc").orderBy("df", "shingle"))
+    by_df = W.partitionBy("doc").orderBy("df", "shingle")
+    weight = F.sum(F.col("df") - 1).over(by_df.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
     index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100.0 + percent)) + 1
-    ranked = shingles.join(spread, "shingle").withColumn("rank", rank).filter((F.col("rank") <= probe) & (F.col("lo") < F.col("hi")))
-    prefix = stored(ranked.select("doc", "class", "n", "shingle", "rank", (F.col("rank") <= index).alias("indexed")), "op8-prefix")
+    ranked = shingles.join(spread, "shingle").withColumn("rank", F.row_number().over(by_df)).withColumn("weight", weight)
+    # the first row of a set tells its weight, whether or not its shingle can link
+    ranked = ranked.withColumn("links", (F.col("rank") <= probe) & (F.col("lo") < F.col("hi"))).filter("links or rank = 1")
+    prefix = stored(ranked.select("doc", "n", "shingle", "rank", "weight", "links", (F.col("rank") <= index).alias("indexed")), "op8-prefix")
+
+    weights = prefix.filter("rank = 1").select(F.col("doc").alias("digest"), F.struct("weight", -F.col("n"), F.col("doc").alias("digest")).alias("order"))
+    members = lists.join(weights, "digest")
+    hubs = members.groupBy("key").agg(F.max(F.struct("order", "class")).alias("hub")).select("key", F.col("hub.order.digest").alias("a"), F.col("hub.class").alias("class_a"))
+    estimated = lists.join(hubs, "key").filter("class <> class_a").select("a", F.col("digest").alias("b"), "class_a", F.col("class").alias("class_b")).distinct()
+    likely = stored(_likely_pairs(estimated, heads, k, percent), "op8-hub-pairs")
+    by_hubs = _confirmed(likely, full, percent, "op8-hub-links").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    merged = components(by_hubs, "op8-hub-stars").select(F.col("node").alias("class"), "root")
+    now = stored(unsettled.join(merged, "class", "left").select(F.col("digest").alias("doc"), F.coalesce("root", "class").alias("class")), "op8-hub-classes")
+
+    linking = prefix.filter("links").select("doc", "n", "shingle", "rank", "indexed").join(now, "doc")
+    apart = linking.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("shingle")
+    linking = stored(linking.join(apart, "shingle"), "op8-linking")
     side = lambda df, x: df.select(F.col("doc").alias(x), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("rank").alias(f"rank_{x}"), "shingle")
     # common shingles that two sets of these sizes need; one of them has fewer than the rest before it in both
     need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent))
     early = (F.col("rank_a") <= F.col("n_a") - need + 1) & (F.col("rank_b") <= F.col("n_b") - need + 1)
     near = F.expr(f"class_a <> class_b and (n_a < n_b or (n_a = n_b and a < b)) and 100 * n_a >= {percent} * n_b")
-    pairs = stored(side(prefix.filter("indexed"), "a").join(side(prefix, "b"), "shingle").filter(near & early).select("a", "b", "class_a", "class_b").distinct(), "op8-late-pairs")
+    pairs = stored(side(linking.filter("indexed"), "a").join(side(linking, "b"), "shingle").filter(near & early).select("a", "b", "class_a", "class_b").distinct(), "op8-late-pairs")
     links = _confirmed(pairs, full, percent, "op8-late-links").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    dropped(prefix, full, pairs)
-    return links
+    dropped(prefix, linking, full, likely, pairs, unsettled, now)
+    # the classes that the hubs' links made are named by one of their own
+    return by_hubs.unionByName(links)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

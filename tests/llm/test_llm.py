@@ -278,6 +278,38 @@ def test_near_duplicates_of_a_cluster(spark):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(root))
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Copies with one to three words replaced: candidates grow with their number, and no link is lost."""
+    rng = random.Random(13)
+    base = [f"b{k}" for k in range(150)]
+    texts = [base]
+    for k in range(400):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), 1 + k % 3):
+            copy[at] = f"n{k}x{at}"
+        texts.append(copy)
+    rng.shuffle(texts)
+    sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    before = None
+    while before != root:
+        before = list(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    made, keep = {}, near_dups.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    out = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(root))
+    assert made["op8-pairs"] + made["op8-late-pairs"] < 5 * len(texts)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """An id with two texts ties together what either text is near to."""
     rng = random.Random(12)
