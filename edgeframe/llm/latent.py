@@ -7,10 +7,10 @@ nearly every benchmark is one block.  For one block:
    block's vocabulary; a passage is two neighbouring runs.  Frequencies over all
    runs of all documents give the TF-IDF weights.
 2. A randomised SVD finds the leading right singular vectors of the matrix A of
-   passages and items: each task adds up its share of A'(A G) for a narrow G,
-   the driver orthonormalises the sums, and the small matrix Q'A'AQ is
-   diagonalised.  The passages of A are those of a bounded sample of documents
-   (``SAMPLE`` runs), chosen by hash; every document is searched.
+   all passages of all documents and of the items: each task adds up its share
+   of A'(A G) for a narrow G, and the driver orthonormalises the sums.  After
+   the last pass, Q and Y = A'A Q give A'A as Y (Q'Y)^-1 Y' (Nystroem), which
+   is diagonalised.
 3. Passages are searched by cosine in that space.  Runs in which too little of
    an item's rare words stands for step 4 to accept any passage there are
    skipped; that loses nothing.  A cosine in few dimensions can miss a leak
@@ -44,8 +44,8 @@ from edgeframe.llm.shared import dropped, quoted, stored
 PASSAGE, STRIDE = 96, 48
 #: Items and distinct words of a block, at most: the broadcast basis has BLOCK_WORDS * RANK numbers at most.
 BLOCK, BLOCK_WORDS = 4096, 1 << 16
-#: Dimensions of the latent space, further random directions, passes over A, runs in the sample that it is fitted on.
-RANK, EXTRA, ROUNDS, SAMPLE, SEED = 64, 8, 2, 1 << 15, 7
+#: Dimensions of the latent space, further random directions, passes over A.
+RANK, EXTRA, ROUNDS, SEED = 64, 8, 2, 7
 #: Least latent cosine of a candidate without enough telling words nearby.
 COSINE = 0.3
 #: Least share of the item's weight in the common subsequence: half of the words replaced leave half on average, and spread around it.
@@ -265,55 +265,52 @@ def _gram_share(found: _Blocks, right: np.ndarray, weight: np.ndarray, total: np
         total[ids] += np.add.reduceat(seen[found.row[order]], starts, axis=0) * weight[ids][:, None]
 
 
-def _gram_rows(idf, basis, small: bool):
-    """Each task's share of A'(A G), or of (A G)'(A G) if ``small``, as rows (place, values)."""
+def _gram_rows(idf, basis):
+    """Each task's share of A'(A G), as rows (place, values)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = idf.value
         right = basis.value * weight[:, None]
-        total = np.zeros((right.shape[1] if small else len(right), right.shape[1]), np.float64)
+        total = np.zeros(right.shape, np.float64)
         for batch in batches:
             for part in _pieces(batch):
-                found = _Blocks(part)
-                if small:
-                    seen = found.passages(_product(found.row, found.feature, right, len(found.doc)))
-                    total += seen.T @ seen
-                else:
-                    _gram_share(found, right, weight, total)
+                _gram_share(_Blocks(part), right, weight, total)
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c) for c in total[at].T)], ["place", *(f"y{i}" for i in range(total.shape[1]))])
 
     return rows
 
 
-def latent_space(sample: DataFrame, item_row: np.ndarray, item_feature: np.ndarray, many: int, idf: np.ndarray, scale: float, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (columns) of the sample's passages and, ``scale`` times, the items."""
-    sc, size = sample.sparkSession.sparkContext, len(idf)
+def latent_space(passages: DataFrame, item_row: np.ndarray, item_feature: np.ndarray, many: int, idf: np.ndarray, scale: float, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors (columns) of the passages and, ``scale`` times, the items."""
+    sc, size = passages.sparkSession.sparkContext, len(idf)
     width = min(rank + EXTRA, size)
     shared_idf = sc.broadcast(idf)
     names = [f"y{i}" for i in range(width)]
     schema = "place int, " + ", ".join(f"{y} double" for y in names)
 
-    def summed(basis: np.ndarray, small: bool) -> np.ndarray:
+    def summed(basis: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(basis.astype(np.float32))
-        out = np.zeros((width if small else size, width))
-        shares = sample.select("sizes", "features").mapInArrow(_gram_rows(shared_idf, shared, small), schema)
+        out = np.zeros((size, width))
+        shares = passages.select("sizes", "features").mapInArrow(_gram_rows(shared_idf, shared), schema)
         for place, *values in shares.groupBy("place").agg(*(F.sum(y) for y in names)).collect():
             out[place] = values
         shared.destroy()
         seen = _product(item_row, item_feature, (basis * idf[:, None]).astype(np.float32), many).astype(np.float64) * scale
-        if small:
-            return out + seen.T @ seen
         np.add.at(out, item_feature, seen[item_row] * (scale * idf[item_feature])[:, None])
         return out
 
     basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0]
-    for _ in range(ROUNDS):
-        basis = np.linalg.qr(summed(basis, False))[0]
-    strength, turn = np.linalg.eigh(summed(basis, True))
+    for _ in range(ROUNDS - 1):
+        basis = np.linalg.qr(summed(basis))[0]
+    image = summed(basis)
     shared_idf.destroy()
-    lead = [i for i in np.argsort(-strength)[:rank].tolist() if strength[i] > 1e-9 * max(strength.max(), 1e-30)]
-    return (basis @ turn[:, lead]).astype(np.float32)
+    core = basis.T @ image
+    strength, turn = np.linalg.eigh((core + core.T) / 2)
+    solid = strength > 1e-6 * max(strength.max(), 1e-30)
+    vectors, strength, _ = np.linalg.svd(image @ (turn[:, solid] / np.sqrt(strength[solid])), full_matrices=False)
+    lead = np.flatnonzero(strength[:rank] ** 2 > 1e-9 * max(strength.max(initial=0.0) ** 2, 1e-30))
+    return vectors[:, lead].astype(np.float32)
 
 
 def _search_rows(idf, basis, queries, tables, cosine: float):
@@ -495,9 +492,7 @@ def _block_leaks(texts: DataFrame, block: list[tuple], cosine: float, share: flo
 
     item_row = np.concatenate([np.full(len(np.unique(h)), k) for k, (_, h) in enumerate(block)])
     item_feature = np.concatenate([np.searchsorted(vocabulary, np.unique(h)) for _, h in block])
-    part = min(1.0, SAMPLE / total)
-    sample = passages if part == 1.0 else passages.filter(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    space = latent_space(sample, item_row, item_feature, len(block), idf, float(np.sqrt(max(1.0, min(total, SAMPLE) / len(block)))))
+    space = latent_space(passages, item_row, item_feature, len(block), idf, float(np.sqrt(max(1.0, total / len(block)))))
     latent = _product(item_row, item_feature, space * idf[:, None], len(block))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 

@@ -410,6 +410,23 @@ def test_latent_space(spark):
     assert np.linalg.norm(dense @ space) >= 0.99 * np.linalg.norm(best)
 
 
+def test_latent_space_of_all_documents(spark, monkeypatch):
+    """No document is left out when the space is fitted."""
+    rng = random.Random(24)
+    docs = spark.createDataFrame([(k, prose(rng, 100)) for k in range(50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, prose(rng, 40))], "item_id long, text string")
+    fitted, fit = [], latent.latent_space
+
+    def seen(passages, *more, **named):
+        fitted.append(passages.count())
+        return fit(passages, *more, **named)
+
+    monkeypatch.setattr(latent, "SAMPLE", 8, raising=False)
+    monkeypatch.setattr(latent, "latent_space", seen)
+    latent.benchmark_leaks(docs, bench).collect()
+    assert fitted == [50]
+
+
 def test_pieces_by_score():
     """The unigram walk finds the best-scored segmentation, as does trying them all."""
     path = public_tokenizers.path("piece_bpe_32k.model")
