@@ -580,6 +580,34 @@ def test_pipeline(spark, rows, tmp_path):
     assert mine == Counter((r.doc_id, r.n_pieces, tuple(r.piece_ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
 
 
+def test_pipeline_fits_on_all_documents(spark, monkeypatch, tmp_path):
+    """``decontaminate`` counts and fits over every run of every document it is given."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    item = prose(rng, 40)
+    texts = [f"{prose(rng, 60 + 3 * k)} {item if k % 9 == 4 else ''} {prose(rng, 50)}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    fitted, fit = [], latent.latent_space
+
+    def seen(passages, rows, features, many, idf, scale):
+        fitted.append((sorted((r.doc, len(r.sizes)) for r in passages.collect()), idf, scale))
+        return fit(passages, rows, features, many, idf, scale)
+
+    monkeypatch.setattr(latent, "SAMPLE", 8, raising=False)
+    monkeypatch.setattr(latent, "latent_space", seen)
+    kept = {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()}
+    assert kept == {k for k in range(60) if k % 9 != 4}
+    hashes = [latent.normal_words(pa.array([t]))[1] for t in texts]
+    runs = [h[i : i + latent.STRIDE] for h in hashes for i in range(0, len(h), latent.STRIDE)]
+    known = np.unique(latent.normal_words(pa.array([item]))[1])
+    ((sizes, idf, scale),) = fitted
+    assert sizes == [(k, -(-len(h) // latent.STRIDE)) for k, h in enumerate(hashes)]
+    assert np.allclose(idf, np.log((len(runs) + 1) / (sum(np.isin(known, r) for r in runs) + 1)), atol=1e-5)
+    assert scale == pytest.approx(len(runs) ** 0.5)
+
+
 def test_digests_are_of_kept_words(spark, tmp_path):
     spark.createDataFrame([(1, " a  b\n"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = {r.doc_id: r for r in substring.op1(spark, str(tmp_path)).collect()}
