@@ -37,12 +37,49 @@ MARK = "▁"
 KEPT_UNITS = 150_000
 #: Pairs of pieces whose merging a process remembers.
 KEPT_PAIRS = 250_000
+#: Steps of the automaton over the pieces that a process remembers.
+KEPT_STEPS = 250_000
+#: A text with this many characters that no piece knows is taken apart by the pattern.
+FEW_STRANGE = 8
 #: Units over this many characters don't share; their ids would be copied at each step.
 LONG_UNIT = 256
 #: Bytes of text encoded at once: the more, the more prefixes are shared.
 SLICE = 2 << 20
 
 
+class Pairs(dict):
+    """Of the piece ``left``: whether a piece stands whole to its right."""
+
+    __slots__ = ("left", "machine")
+
+    def __init__(self, machine: Encoder, left: str):
+        self.machine, self.left = machine, left
+
+    def __missing__(self, right: str) -> bool:
+        return self.machine.stands(self, right)
+
+
+class Ending(dict):
+    """A state of the automaton over the pieces, and by character the state that follows.
+
+    ``text`` is the longest end of what was read that begins a piece, or else
+    its last character.  ``pieces`` has the pieces of two characters or more
+    that end there, longest first: their lengths, themselves, their ids and
+    what stands to their right.  ``single`` is the last character's, likewise.
+    """
+
+    __slots__ = ("machine", "pieces", "single", "text")
+
+    def __init__(self, machine: Encoder, text: str):
+        self.machine, self.text = machine, text
+        ends = (text[i:] for i in range(len(text) - 1))
+        self.pieces = tuple((len(p), p, *machine.entry(p)) for p in ends if p in machine.score)
+        self.single = machine.entry(text[-1:])
+
+    def __missing__(self, char: str) -> Ending:
+        return self.machine.follow(self, char)
+
+
 class Encoder:
     """The forward walk for one model file's content."""
 
@@ -79,11 +116,14 @@ class Encoder:
         letters = "".join(re.escape(c) for c in sorted(known - {MARK}))
         self.unit = re.compile(f"{MARK}*[{letters}]+|{MARK}+|.", re.DOTALL) if letters else re.compile(".", re.DOTALL)
         self.plain = known - {" "}
-        #: Of each piece on the left: whether a piece stands whole to its right.
-        self.right: dict[str, dict[str, bool]] = {}
-        self.right_size = 0
         # ids as 32-bit integers in a row
         self.known = {p: struct.pack("=i", i) for p, i in self.id.items()}
+        self.right: dict[str, Pairs] = {}
+        self.right_size = 0
+        #: The states by text: one for each beginning of a piece, made when first met.
+        self.states: dict[str, Ending | None] = dict.fromkeys(p[:n] for p in self.id for n in range(1, len(p) + 1))
+        self.steps = 0
+        self.start = Ending(self, "")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -107,37 +147,57 @@ class Encoder:
             return len(right) == 1 or self._merged(right) == [right]
         return self._merged(left + right) == [left, right]
 
-    def _stands(self, left: str, right: str) -> bool:
-        """Whether merging leaves the piece ``right`` whole after ``left``; remembered."""
-        if self.right_size > KEPT_PAIRS:
-            # each table is dropped where it is; walks hold references to them
+    def stands(self, pairs: Pairs, right: str) -> bool:
+        """Whether merging leaves the piece ``right`` whole after that of ``pairs``; remembered."""
+        if self.right_size >= KEPT_PAIRS:
+            # each table is emptied where it is; states and walks hold references to them
             for table in self.right.values():
                 table.clear()
             self.right_size = 0
-        found = self._fits(left, right)
-        self.right.setdefault(left, {})[right] = found
+        found = pairs[right] = self._fits(pairs.left, right)
         self.right_size += 1
         return found
 
-    def _last(self, unit: str, n: int, last: list[str], total: list[float]) -> tuple[str, float]:
-        """The last piece of the encoding of ``unit[:n]``, and its score."""
+    def entry(self, piece: str) -> tuple[bytes, Pairs]:
+        """The ids of a piece, or of a character that is none, and what stands to its right."""
+        if (table := self.right.get(piece)) is None:
+            table = Pairs(self, piece)
+            if piece in self.known or not piece:
+                self.right[piece] = table
+        return self._ids(piece), table
+
+    def follow(self, state: Ending, char: str) -> Ending:
+        """The state after ``char``; remembered, but for characters that begin no piece."""
+        text = state.text + char
+        while text and text not in self.states:
+            text = text[1:]
+        if not text:
+            return Ending(self, char)
+        if (found := self.states[text]) is None:
+            found = self.states[text] = Ending(self, text)
+        if self.steps >= KEPT_STEPS:
+            self.start.clear()
+            for other in filter(None, self.states.values()):
+                other.clear()
+            self.steps = 0
+        state[char] = found
+        self.steps += 1
+        return found
+
+    def _last(self, unit: str, n: int, total: list[float]) -> tuple[str, float]:
+        """The last piece of the best-scored encoding of ``unit[:n]``, and its score."""
         best = ("", -float("inf"))
         sizes = (self.sizes.get(unit[n - 3 : n]) if n > 2 else None) or (self.sizes2.get(unit[n - 2 : n], ()) if n > 1 else ())
         for size in sizes:
             if size > n:
                 continue
             piece = unit[n - size : n]
-            if piece not in self.score:
-                continue
-            if self.merging:
-                if self._stands(last[n - size], piece):
-                    return piece, 0.0
-            elif (value := total[n - size] + self.score[piece]) > best[1]:
+            if piece in self.score and (value := total[n - size] + self.score[piece]) > best[1]:
                 best = (piece, value)
-        # a single character stands if nothing longer does; one that is no piece costs a unigram dearly
+        # one character that is no piece costs dearly
         single = unit[n - 1]
-        value = 0.0 if self.merging else total[n - 1] + self.score.get(single, self.unknown)
-        return (single, value) if self.merging or value > best[1] else best
+        value = total[n - 1] + self.score.get(single, self.unknown)
+        return (single, value) if value > best[1] else best
 
     def _ids(self, piece: str) -> bytes:
         if piece in self.known:
@@ -151,14 +211,10 @@ class Encoder:
 
     def _walk_merging(self, units: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        # of each prefix of the unit at hand: the ids, and what stands whole after its last piece
-        before, ids = "", [b""]
-        score, right, known, stands, sizes_of, twos_of = self.score, self.right, self.known, self._stands, self.sizes.get, self.sizes2.get
-        last = [""]
-        after = [right.setdefault("", {})]
+        # of each prefix of the unit at hand: the state, the ids, and what stands whole after its last piece
+        before, states, ids, after = "", [self.start], [b""], [self.entry("")[1]]
         for unit in units:
-            length = len(unit)
-            if length > LONG_UNIT:
+            if len(unit) > LONG_UNIT:
                 out[unit] = self._alone(unit)
                 continue
             shared = 0
@@ -166,25 +222,20 @@ class Encoder:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], ids[shared + 1 :], after[shared + 1 :]
-            for n in range(shared + 1, length + 1):
-                for size in sizes_of(unit[max(0, n - 3) : n]) or twos_of(unit[max(0, n - 2) : n], ()):
-                    if size > n:
-                        continue
-                    piece = unit[n - size : n]
-                    if piece not in score:
-                        continue
-                    found = after[n - size].get(piece)
-                    if found is None:
-                        found = stands(last[n - size], piece)
-                    if found:
+            del states[shared + 1 :], ids[shared + 1 :], after[shared + 1 :]
+            state = states[-1]
+            for char in unit[shared:]:
+                state = state[char]
+                for size, piece, its_ids, pairs in state.pieces:
+                    if after[-size][piece]:
+                        ids.append(ids[-size] + its_ids)
                         break
                 else:
-                    piece, size = unit[n - 1], 1
-                last.append(piece)
-                ids.append(ids[n - size] + (known.get(piece) or self._ids(piece)))
-                table = right.get(piece)
-                after.append(right.setdefault(piece, {}) if table is None else table)
+                    # a single character stands if nothing longer does
+                    its_ids, pairs = state.single
+                    ids.append(ids[-1] + its_ids)
+                after.append(pairs)
+                states.append(state)
             out[unit] = ids[-1]
             before = unit
         return out
@@ -192,7 +243,7 @@ class Encoder:
     def _walk_scored(self, units: list[str]) -> dict[str, bytes]:
         """Viterbi: of each prefix the best-scored last piece and the score."""
         out: dict[str, bytes] = {}
-        before, last, total, ids = "", [""], [0.0], [b""]
+        before, total, ids = "", [0.0], [b""]
         step, known = self._last, self.known
         for unit in units:
             if len(unit) > LONG_UNIT:
@@ -203,10 +254,9 @@ class Encoder:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :], ids[shared + 1 :]
+            del total[shared + 1 :], ids[shared + 1 :]
             for n in range(shared + 1, len(unit) + 1):
-                piece, value = step(unit, n, last, total)
-                last.append(piece)
+                piece, value = step(unit, n, total)
                 total.append(value)
                 ids.append(ids[n - len(piece)] + (known.get(piece) or self._ids(piece)))
             out[unit] = ids[-1]
@@ -215,23 +265,39 @@ class Encoder:
 
     def _units(self, text: str) -> list[str]:
         """The units of a normalised text."""
-        if MARK * 2 not in text and self.plain.issuperset(text):
-            # single marks, known characters: every mark starts a unit
-            found = text.replace(MARK, " " + MARK).split(" ")
-            return found if found[0] else found[1:]
+        if MARK * 2 not in text and " " not in text and len(strange := set(text) - self.plain) <= FEW_STRANGE:
+            # single marks start units, unknown characters are units
+            for c in strange:
+                text = text.replace(c, f" {c} ")
+            return list(filter(None, text.replace(MARK, " " + MARK).split(" ")))
         return self.unit.findall(text)
 
     def _alone(self, unit: str) -> bytes:
         """The ids of one long unit, read back from its last pieces."""
-        last, total, found = [""], [0.0], []
-        for n in range(1, len(unit) + 1):
-            piece, value = self._last(unit, n, last, total)
-            last.append(piece)
-            total.append(value)
+        sizes, found = [0], []
+        if self.merging:
+            state, after, last = self.start, [self.entry("")[1]], [b""]
+            for char in unit:
+                state = state[char]
+                for size, piece, its_ids, pairs in state.pieces:
+                    if after[-size][piece]:
+                        break
+                else:
+                    size, (its_ids, pairs) = 1, state.single
+                sizes.append(size)
+                last.append(its_ids)
+                after.append(pairs)
+        else:
+            total, last = [0.0], [b""]
+            for n in range(1, len(unit) + 1):
+                piece, value = self._last(unit, n, total)
+                sizes.append(len(piece))
+                last.append(self.known.get(piece) or self._ids(piece))
+                total.append(value)
         n = len(unit)
         while n:
-            found.append(self.known.get(last[n]) or self._ids(last[n]))
-            n -= len(last[n])
+            found.append(last[n])
+            n -= sizes[n]
         return b"".join(reversed(found))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
@@ -497,6 +498,47 @@ def test_pieces_random():
     assert [machine.decode(c.tolist()) for c in cuts] == [library.decode(c.tolist()) for c in cuts]
 
 
+def test_pieces_steps(monkeypatch):
+    """A step of the walk costs a few calls, and no pair of pieces is merged twice; what is forgotten is found again."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        model = f.read()
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices(["th", "er", "in", "on", "a", "e", "é", "qu", ","], k=rng.randint(1, 7))) for _ in range(40)) + "\nnext line\n\n" for _ in range(60)]
+    texts += ["x" * 2000, "ab" * 900 + "\n" + "ing" * 300, "\n", "é\n é \n\té", "日本語テキスト処理の例文です 日本", " \n" * 3]
+    machine, fits, tried = pieces.Encoder(model), pieces.Encoder._fits, Counter()
+
+    def counted(self, left, right):
+        tried[left, right] += 1
+        return fits(self, left, right)
+
+    monkeypatch.setattr(pieces.Encoder, "_fits", counted)
+    same = lambda: [c.tolist() for c in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t) for t in texts]
+    ids, count = machine.encode(texts)
+    assert same() and max(tried.values()) == 1
+    units = sorted(u for u in machine.young if len(u) <= pieces.LONG_UNIT)
+    steps = len({u[:n] for u in units for n in range(1, len(u) + 1)})
+    calls = Counter()
+    sys.setprofile(lambda frame, event, what: calls.update([event]))
+    try:
+        machine.walk(units)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] <= 3 * steps + 2 * len(units) + 50
+    # single lines are taken apart without the pattern
+    machine.unit = None
+    assert machine._units("▁one▁two\nthree") == ["▁one", "▁two", "\n", "three"]
+    monkeypatch.setattr(pieces, "KEPT_PAIRS", 20)
+    monkeypatch.setattr(pieces, "KEPT_STEPS", 20)
+    machine = pieces.Encoder(model)
+    ids, count = machine.encode(texts)
+    assert same() and machine.right_size <= 20 and machine.steps <= 20
+    assert sum(map(len, machine.right.values())) <= 20
+
+
 PAGE = (
     "<body class='has-sidebar'><header><h1>Site</h1><a href=x>Home</a></header><div class='cookie-notice'>We use cookies. Accept them now please.</div>"
     "<main><article><h1>Title&nbsp;here</h1><p>Para one  is long enough,\n it has words. And <b>more</b>.<p>Ok.</p><script>var a='<p>no</p>';</script><!-- <p>no -->"
