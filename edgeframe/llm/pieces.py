@@ -34,7 +34,7 @@ from edgeframe.llm.shared import batched, named, others, quoted
 
 MARK = "▁"
 #: Distinct units whose ids a process keeps from slice to slice, about.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 300_000
 #: Pairs of pieces whose merging a process remembers.
 KEPT_PAIRS = 250_000
 #: Steps of the automaton over the pieces that a process remembers.
@@ -115,7 +115,10 @@ class Encoder:
         self.sizes2 = dict.fromkeys(twos, (2,))
         letters = "".join(re.escape(c) for c in sorted(known - {MARK}))
         self.unit = re.compile(f"{MARK}*[{letters}]+|{MARK}+|.", re.DOTALL) if letters else re.compile(".", re.DOTALL)
-        self.plain = known - {" "}
+        self.plain = known | {MARK}
+        #: A character that no piece knows begins the key of a unit without a mark.  The others' keys
+        #: have the first mark taken off, so that most take a byte a character.
+        self.bare = next(c for c in map(chr, itertools.count()) if c not in self.plain)
         # ids as 32-bit integers in a row
         self.known = {p: struct.pack("=i", i) for p, i in self.id.items()}
         self.right: dict[str, Pairs] = {}
@@ -263,14 +266,16 @@ class Encoder:
             before = unit
         return out
 
-    def _units(self, text: str) -> list[str]:
-        """The units of a normalised text."""
-        if MARK * 2 not in text and " " not in text and len(strange := set(text) - self.plain) <= FEW_STRANGE:
+    def _keys(self, text: str) -> list[str]:
+        """The keys of a normalised text's units; that of an empty unit may be among them."""
+        bare = self.bare
+        if MARK * 2 not in text and bare not in text and len(strange := set(text) - self.plain) <= FEW_STRANGE:
             # single marks start units, unknown characters are units
             for c in strange:
-                text = text.replace(c, f" {c} ")
-            return list(filter(None, text.replace(MARK, " " + MARK).split(" ")))
-        return self.unit.findall(text)
+                text = text.replace(c, f"{MARK}{bare}{c}{MARK}{bare}")
+            first, *found = text.split(MARK)
+            return [bare + first, *found] if first else found
+        return [u[1:] if u[0] == MARK else bare + u for u in self.unit.findall(text)]
 
     def _alone(self, unit: str) -> bytes:
         """The ids of one long unit, read back from its last pieces."""
@@ -302,18 +307,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        units = [self._units(self.library.normalize(t)) if t else [] for t in texts]
+        keys = [self._keys(self.library.normalize(t)) if t else [] for t in texts]
         # units not met for a while go with their generation
         if len(self.young) > KEPT_UNITS // 2:
             self.old, self.young = self.young, {}
         young, old, new = self.young, self.old, []
-        for u in set(itertools.chain.from_iterable(units)).difference(young):
-            if (ids := old.get(u)) is None:
-                new.append(u)
+        young[self.bare] = b""
+        for k in set(itertools.chain.from_iterable(keys)).difference(young):
+            if (ids := old.get(k)) is None:
+                new.append(k)
             else:
-                young[u] = ids
-        young |= self.walk(new)
-        found = [b"".join(map(young.__getitem__, u)) for u in units]
+                young[k] = ids
+        new.sort()
+        units = [k[1:] if k[:1] == self.bare else MARK + k for k in new]
+        young.update(zip(new, map(self.walk(units).__getitem__, units), strict=True))
+        found = [b"".join(map(young.__getitem__, k)) for k in keys]
         return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def decode(self, ids: list[int]) -> str:

@@ -519,7 +519,7 @@ def test_pieces_steps(monkeypatch):
     same = lambda: [c.tolist() for c in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t) for t in texts]
     ids, count = machine.encode(texts)
     assert same() and max(tried.values()) == 1
-    units = sorted(u for u in machine.young if len(u) <= pieces.LONG_UNIT)
+    units = sorted({u for t in texts for u in machine.unit.findall(library.normalize(t)) if len(u) <= pieces.LONG_UNIT})
     steps = len({u[:n] for u in units for n in range(1, len(u) + 1)})
     calls = Counter()
     sys.setprofile(lambda frame, event, what: calls.update([event]))
@@ -529,8 +529,11 @@ def test_pieces_steps(monkeypatch):
         sys.setprofile(None)
     assert calls["call"] + calls["c_call"] <= 3 * steps + 2 * len(units) + 50
     # single lines are taken apart without the pattern
-    machine.unit = None
-    assert machine._units("▁one▁two\nthree") == ["▁one", "▁two", "\n", "three"]
+    machine.unit, whole = None, texts
+    texts = ["one two\nthree", "\n", "\none \n two\n", "é", "one \n\ntwo"]
+    ids, count = machine.encode(texts)
+    assert same()
+    texts = whole
     monkeypatch.setattr(pieces, "KEPT_PAIRS", 20)
     monkeypatch.setattr(pieces, "KEPT_STEPS", 20)
     machine = pieces.Encoder(model)
