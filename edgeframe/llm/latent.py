@@ -46,6 +46,8 @@ PASSAGE, STRIDE = 96, 48
 BLOCK, BLOCK_WORDS = 4096, 1 << 16
 #: Dimensions of the latent space, further random directions, passes over A.
 RANK, EXTRA, ROUNDS, SEED = 64, 8, 2, 7
+#: Words whose products are dense, and runs multiplied at once; the sums are the same with any numbers here.
+COMMON, GRAM_RUNS = 512, 2048
 #: Least latent cosine of a candidate without enough telling words nearby.
 COSINE = 0.3
 #: Least share of the item's weight in the common subsequence: half of the words replaced leave half on average, and spread around it.
@@ -54,6 +56,8 @@ SHARE = 0.36
 TELLING, TELLING_SHARE, ANSWER_SHARE = 6, 0.5, 1 / 6
 #: A common subsequence must lie within so many times the item's words, and so many words more.
 STRETCH, SLACK = 1.5, 8
+#: Stretches read together.
+TOGETHER = 512
 #: Items with fewer words are found by their exact sequence.
 LEAST_WORDS = 8
 
@@ -64,26 +68,46 @@ _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 def normal_words(array: pa.Array) -> tuple[textops.Words, np.ndarray]:
     """Lower-cased words without ASCII punctuation at their ends, and their hashes."""
     words = textops.Words(array, lower=True)
-    at = np.arange(len(words))
+    at = np.flatnonzero(_PUNCT[words.raw[words.start]])
     while at.size:
-        lead = _PUNCT[words.raw[words.start[at]]]
-        words.start[at[lead]] += 1
-        at = at[words.end[at] > words.start[at]]
-        tail = _PUNCT[words.raw[words.end[at] - 1]]
-        words.end[at[tail]] -= 1
-        # those that lost a character can have one more
-        at = np.union1d(at[tail], at[_PUNCT[words.raw[words.start[at]]]])
-        at = at[words.end[at] > words.start[at]]
+        words.start[at] += 1
+        at = at[words.start[at] < words.end[at]]
+        at = at[_PUNCT[words.raw[words.start[at]]]]
+    at = np.flatnonzero(_PUNCT[words.raw[words.end - 1]])
+    while at.size:
+        # a word of nothing else is gone already
+        at = at[words.start[at] < words.end[at]]
+        words.end[at] -= 1
+        at = at[_PUNCT[words.raw[words.end[at] - 1]]]
     solid = words.end > words.start
     words.start, words.end, words.doc = words.start[solid], words.end[solid], words.doc[solid]
     words.first = np.searchsorted(words.doc, np.arange(words.rows + 1))
     return words, words.hashes()
 
 
-def _lookup(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Index of each hash in the sorted table, -1 if absent."""
-    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-    return np.where(table[at] == hashes, at, -1)
+class _Lookup:
+    """Places in a sorted table of hashes, by the table's part with the same leading bits."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 3
+        self.table, self.shift = table, np.uint64(64 - bits)
+        first = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.many = np.diff(np.append(first, len(table)))
+        self.first = np.minimum(first, len(table) - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each hash in the table, -1 if absent."""
+        part = (hashes >> self.shift).view(np.int64)
+        at = self.first[part]
+        out = np.where(self.table[at] == hashes, at, -1)
+        left, step = np.flatnonzero((out < 0) & (self.many[part] > 1)), 1
+        while left.size:
+            at = self.first[part[left]] + step
+            same = self.table[at] == hashes[left]
+            out[left[same]] = at[same]
+            step += 1
+            left = left[~same & (self.many[part[left]] > step)]
+        return out
 
 
 def _block_rows(vocabulary: np.ndarray):
@@ -91,10 +115,11 @@ def _block_rows(vocabulary: np.ndarray):
     width = len(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _Lookup(vocabulary)
         for batch in batches:
             for part in textops.slices(batch, "text"):
                 words, hashes = normal_words(textops.as_arrow(part.column("text")))
-                feature = _lookup(vocabulary, hashes)
+                feature = find(hashes)
                 blocks = -(-np.diff(words.first) // STRIDE)
                 ends = np.concatenate([[0], np.cumsum(blocks)])
                 known = np.flatnonzero(feature >= 0)
@@ -255,14 +280,26 @@ def _product(row: np.ndarray, feature: np.ndarray, right: np.ndarray, rows: int)
     return out
 
 
-def _gram_share(found: _Blocks, right: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-    """Add A'(A G) of these passages to ``total``; ``right`` is G times the weights."""
-    seen = found.spread(found.passages(_product(found.row, found.feature, right, len(found.doc))))
-    order = np.argsort(found.feature, kind="stable")
-    starts = np.flatnonzero(textops.changes(found.feature[order]))
+def _gram_share(found: _Blocks, right: np.ndarray, weight: np.ndarray, common: np.ndarray, slot: np.ndarray, total: np.ndarray) -> None:
+    """Add A'(A G) of these passages to ``total``; ``right`` is G times the weights.
+
+    The ``common`` words, with ``slot`` their places there (-1 for others), go
+    through a dense matrix, the others through sums by run and by word.
+    """
+    at = slot[found.feature]
+    rare = at < 0
+    row, feature = found.row[rare], found.feature[rare].astype(np.uint16)
+    dense = np.zeros((len(found.doc), len(common)), np.float32)
+    dense[found.row[~rare], at[~rare]] = 1
+    seen = found.spread(found.passages(dense @ right[common] + _product(row, feature, right, len(found.doc))))
+    total[common] += (dense.T @ seen) * weight[common][:, None]
+    # sorting 16 bits takes time in proportion
+    order = np.argsort(feature, kind="stable")
+    feature = feature[order]
+    starts = np.flatnonzero(textops.changes(feature))
     if len(starts):
-        ids = found.feature[order][starts]
-        total[ids] += np.add.reduceat(seen[found.row[order]], starts, axis=0) * weight[ids][:, None]
+        ids = feature[starts]
+        total[ids] += np.add.reduceat(seen[row[order]], starts, axis=0) * weight[ids][:, None]
 
 
 def _gram_rows(idf, basis):
@@ -272,9 +309,13 @@ def _gram_rows(idf, basis):
         weight = idf.value
         right = basis.value * weight[:, None]
         total = np.zeros(right.shape, np.float64)
+        # the most frequent words have the least weights
+        common = np.argsort(weight, kind="stable")[:COMMON]
+        slot = np.full(len(weight), -1)
+        slot[common] = np.arange(len(common))
         for batch in batches:
-            for part in _pieces(batch):
-                _gram_share(_Blocks(part), right, weight, total)
+            for part in _pieces(batch, GRAM_RUNS):
+                _gram_share(_Blocks(part), right, weight, common, slot, total)
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c) for c in total[at].T)], ["place", *(f"y{i}" for i in range(total.shape[1]))])
 
@@ -349,56 +390,112 @@ def _search_rows(idf, basis, queries, tables, cosine: float):
 
 def weighted_lcs(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> float:
     """Weight of the heaviest common subsequence; ``weight`` belongs to ``right``."""
-    row = np.zeros(len(right) + 1)
-    for x in left[np.isin(left, right)]:
-        taken = row[:-1] + weight * (right == x)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], taken))
-    return float(row[-1])
-
-
-def leak_share(own: np.ndarray, item: np.ndarray, weight: np.ndarray, telling: np.ndarray, share: float = SHARE) -> float:
-    """The greatest share of the item's weight in one stretch's common subsequence; 0 where no stretch is enough."""
-    # where the item's words stand, and how heavy they are
-    order = np.argsort(item, kind="stable")
-    known = item[order]
-    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-    at = np.flatnonzero(known[place] == own)
-    if not len(at):
-        return 0.0
-    whole, best = weight.sum(), 0.0
-    length, step = int(STRETCH * len(item) + SLACK), max(1, len(item) // 4)
-    seen = -1
-    for begin in range(max(0, int(at[0]) // step * step - length), int(at[-1]) + 1, step):
-        a, b = np.searchsorted(at, [begin, begin + length])
-        # the same words as in the stretch before
-        if a == b or (a, b) == seen:
-            continue
-        seen = (a, b)
-        near = own[at[a:b]]
-        # no subsequence weighs more than the item's words that are there
-        if weight[np.isin(item, near)].sum() < max(share, best) * whole - 1e-9 or np.isin(telling, near).sum() < ANSWER_SHARE * len(telling) - 1e-9:
-            continue
-        best = max(best, weighted_lcs(near, item, weight) / whole)
-    return best if best >= share - 1e-9 else 0.0
+    return float(_lcs([(left[np.isin(left, right)], right, weight)])[0])
+
+
+def _lcs(pairs: list[tuple]) -> np.ndarray:
+    """:func:`weighted_lcs` of (left, right, weight) each, all in step."""
+    size = np.array([len(left) for left, _, _ in pairs])
+    order = np.argsort(-size, kind="stable")
+    width = max(len(right) for _, right, _ in pairs)
+    lefts = np.zeros((size.max(initial=0), len(pairs)), np.int64)
+    # a column a pair; places past an item's end weigh nothing
+    rights, weights = np.zeros((width, len(pairs)), np.int64), np.zeros((width, len(pairs)))
+    for c, k in enumerate(order.tolist()):
+        left, right, weight = pairs[k]
+        lefts[: len(left), c], rights[: len(right), c], weights[: len(right), c] = left, right, weight
+    row = np.zeros((width + 1, len(pairs)))
+    live = np.searchsorted(-size[order], -np.arange(len(lefts)), side="left")
+    for x, n in zip(lefts, live.tolist(), strict=True):
+        taken = row[:-1, :n] + weights[:, :n] * (rights[:, :n] == x[:n])
+        np.maximum.accumulate(np.maximum(row[1:, :n], taken), axis=0, out=row[1:, :n])
+    out = np.empty(len(pairs))
+    out[order] = row[-1]
+    return out
+
+
+class _Item:
+    """One item's words by number, and what the reading of a stretch needs."""
+
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray, telling: np.ndarray):
+        self.known, self.word = np.unique(hashes, return_inverse=True)
+        self.weight, self.whole = weight, weight.sum()
+        self.mass = np.bincount(self.word, weights=weight)
+        self.telling = np.searchsorted(self.known, telling)
+        self.length, self.step = int(STRETCH * len(hashes) + SLACK), max(1, len(hashes) // 4)
+
+    def stretches(self, own: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, float]]:
+        """The item's words in each stretch that can have ``share`` of its weight, and their weight."""
+        place = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        at = np.flatnonzero(self.known[place] == own)
+        if not len(at):
+            return
+        word = place[at]
+        begin = np.arange(max(0, int(at[0]) // self.step * self.step - self.length), int(at[-1]) + 1, self.step)
+        first, last = np.searchsorted(at, begin), np.searchsorted(at, begin + self.length)
+        # those with the same words as the stretch before add nothing
+        fresh = textops.changes(first, last) & (first < last)
+        for a, b in zip(first[fresh].tolist(), last[fresh].tolist(), strict=True):
+            near = word[a:b]
+            there = np.bincount(near, minlength=len(self.known)) > 0
+            # no subsequence weighs more than the item's words that are there
+            most = self.mass[there].sum()
+            if most >= share * self.whole - 1e-9 and there[self.telling].sum() >= ANSWER_SHARE * len(self.telling) - 1e-9:
+                yield near, most
+
+
+class _Reading:
+    """The best share of each hit, its stretches read many at a time."""
+
+    def __init__(self, share: float):
+        self.share, self.best, self.waiting = share, [], []
+
+    def add(self, item: _Item, own: np.ndarray) -> None:
+        hit = len(self.best)
+        self.best.append(0.0)
+        for near, most in item.stretches(own, self.share):
+            self.waiting.append((hit, item, near, most))
+            if len(self.waiting) == TOGETHER:
+                self.read()
+
+    def read(self) -> None:
+        # what was read before can be out of reach
+        left = [x for x in self.waiting if x[3] >= self.best[x[0]] * x[1].whole - 1e-9]
+        self.waiting = []
+        if left:
+            for (hit, item, _, _), weight in zip(left, _lcs([(near, item.word, item.weight) for _, item, near, _ in left]).tolist(), strict=True):
+                self.best[hit] = max(self.best[hit], weight / item.whole)
+
+    def shares(self) -> list[float]:
+        """The greatest share of the item's weight in one stretch's common subsequence, by hit; 0 where no stretch is enough."""
+        self.read()
+        return [x if x >= self.share - 1e-9 else 0.0 for x in self.best]
 
 
 def _check_rows(items, share: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = items.value
+        known, own_items = items.value, {}
         for batch in batches:
             for part in textops.slices(batch, "text"):
                 words, hashes = normal_words(textops.as_arrow(part.column("text")))
-                found: tuple[list, list, list, list] = ([], [], [], [])
-                for r, hits in enumerate(part.column("hits").to_pylist()):
-                    own, best = hashes[words.first[r] : words.first[r + 1]], {}
-                    for hit in hits:
+                reading, hits = _Reading(share), []
+                for r, listed in enumerate(part.column("hits").to_pylist()):
+                    own = hashes[words.first[r] : words.first[r + 1]]
+                    for hit in listed:
                         k = hit["item"]
-                        if covered := leak_share(own[hit["start"] : hit["stop"]], known.hashes[k], known.weight[k], known.telling[k], share):
-                            best[k] = max(best.get(k, (0.0, 0.0)), (covered, hit["cosine"]))
-                    for item, (covered, cosine) in best.items():
-                        for column, value in zip(found, (r, item, covered, cosine), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(found[0], pa.int64())), pa.array(found[1], pa.int32()), pa.array(found[2], pa.float64()), pa.array(found[3], pa.float64())], ["doc", "item", "share", "cosine"])
+                        if k not in own_items:
+                            own_items[k] = _Item(known.hashes[k], known.weight[k], known.telling[k])
+                        reading.add(own_items[k], own[hit["start"] : hit["stop"]])
+                        hits.append((r, k, hit["cosine"]))
+                best: dict = {}
+                for (r, k, cosine), covered in zip(hits, reading.shares(), strict=True):
+                    if covered:
+                        best[r, k] = max(best.get((r, k), (0.0, 0.0)), (covered, cosine))
+                doc, item = [r for r, _ in best], [k for _, k in best]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(pa.array(doc, pa.int64())), pa.array(item, pa.int32()), pa.array([x for x, _ in best.values()], pa.float64()), pa.array([x for _, x in best.values()], pa.float64())],
+                    ["doc", "item", "share", "cosine"],
+                )
 
     return rows
 

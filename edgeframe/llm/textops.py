@@ -20,13 +20,11 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 19
 
-_WS = np.zeros(256, dtype=bool)
-_WS[[32, 9, 10, 11, 12, 13]] = True
+#: Words up to this many bytes are hashed together, longer ones by blake2b; bytes in which words begin that are hashed at once.
+_WHOLE, _CHUNK = 48, (1 << 16) - 48
 
-#: Words up to this many bytes are hashed in lockstep, longer ones by blake2b.
-_LOCKSTEP = 48
-
-_B_WORD = np.uint64(0x9E3779B97F4A7C15)
+_B_WORD = 0x9E3779B97F4A7C15
+_B_WORD_INV = pow(_B_WORD, -1, 1 << 64)
 _B_SEQ = 0xD6E8FEB86659FD93
 _B_INV = pow(_B_SEQ, -1, 1 << 64)
 
@@ -117,10 +115,10 @@ class Words:
     def __init__(self, array: pa.Array, lower: bool = False):
         raw, off = text_bytes(array)
         if lower and len(raw):
-            raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+            raw = raw | ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
         self.raw, self.off, self.rows = raw, off, len(array)
         if len(raw):
-            solid = ~_WS[raw]
+            solid = (raw != 32) & (raw - np.uint8(9) > 4)
             edge = np.zeros(len(raw) + 1, dtype=bool)
             edge[off] = True  # a text's end ends its last word
             before = np.empty(len(raw), dtype=bool)
@@ -139,24 +137,23 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self)
-        out = np.zeros(n, np.uint64)
+        out = np.zeros(len(self), np.uint64)
         size = self.end - self.start
-        order = np.argsort(-size, kind="stable")
-        sized = size[order]
-        long = int(np.count_nonzero(size > _LOCKSTEP))
-        for i in order[:long]:
+        short = np.minimum(size, _WHOLE)
+        # polynomials in the bytes, each the difference of two sums since the chunk's start
+        cuts = np.flatnonzero(changes(self.start // _CHUNK)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(self)], strict=False):
+            base = self.start[a]
+            start = self.start[a:b] - base
+            end = start + short[a:b]
+            n = int(end[-1])
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.raw[base : base + n].astype(np.uint64) + np.uint64(1)) * _power(_B_WORD_INV, n), out=total[1:])
+            h = (total[end] - total[start]) * _power(_B_WORD, n)[end - 1]
+            out[a:b] = mix(h + size[a:b].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        for i in np.flatnonzero(size > _WHOLE).tolist():
             piece = self.raw[self.start[i] : self.end[i]].tobytes()
             out[i] = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")
-        rest = order[long:]
-        if len(rest):
-            at, left = self.start[rest], sized[long:]
-            h = np.zeros(len(rest), np.uint64)
-            live = np.searchsorted(-left, -np.arange(left[0]), side="left")  # words longer than t
-            for t in range(int(left[0])):
-                k = int(live[t])
-                h[:k] = h[:k] * _B_WORD + (self.raw[at[:k] + t].astype(np.uint64) + np.uint64(1))
-            out[rest] = mix(h + left.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         return out
 
     def grams(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
